@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkivist.llm import chunking, packing, tokenizer
+from sparkivist.llm import chunking, conversations, packing, tokenizer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": chunking.found_query,
         "p1_pieces": chunking.pieces_query,
+        "p5_found": conversations.found_query,
+        "p5_turns": conversations.transcript_query,
         "p6_ids": tokenizer.ids_query,
         "p7_windows": packing.windows_query,
         "p7_fill": packing.fill_query,
@@ -25,4 +27,26 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": r"""
             SELECT DISTINCT entry_id FROM memory_entries
             WHERE length(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) > 800""",
+        "p5_found": r"""
+            WITH judged AS (
+              SELECT conv_key, key,
+                CASE WHEN epoch IS NULL OR isnan(epoch) OR epoch <= 0 OR epoch >= 1e18 THEN NULL WHEN epoch > 1e11 THEN CAST(round(epoch) AS BIGINT) ELSE CAST(round(epoch * 1000) AS BIGINT) END AS ms,
+                lower(regexp_replace(coalesce(role, ''), '^[\s\pZ\x{200b}\x{feff}]+|[\s\pZ\x{200b}\x{feff}]+$', '', 'g')) AS name,
+                regexp_replace(regexp_replace(coalesce(text, ''), '<system-reminder(\s[^>]*)?>.*?</system-reminder\s*>', '', 'gs'), '<passive_recall_context(\s[^>]*)?>.*?</passive_recall_context\s*>', '', 'gs') AS said
+              FROM archive_msgs WHERE conv_key IS NOT NULL AND key IS NOT NULL),
+            merged AS (
+              SELECT conv_key, key, min(ms) AS ms,
+                min(CASE WHEN name IN ('user', 'human') THEN 'user' WHEN name IN ('assistant', 'ai', 'model', 'bot') THEN 'assistant' WHEN name <> '' THEN 'other' END) AS role,
+                bool_or(regexp_matches(said, '[\pL\pN]')) AS words,
+                bool_or(regexp_matches(said, '^[\s\pZ\x{200b}\x{feff}]*<(task-notification|(command|local-command|bash)-[\w-]+)')) AS host
+              FROM judged GROUP BY conv_key, key),
+            speech AS (
+              SELECT conv_key, key, ms, role FROM merged
+              WHERE words AND (role = 'assistant' OR (coalesce(role, 'user') = 'user' AND NOT host))),
+            usable AS (
+              SELECT conv_key FROM speech GROUP BY conv_key
+              HAVING bool_and(role IS NOT NULL AND ms IS NOT NULL)
+                AND arg_min(role, {'ms': ms, 'key': key}) = 'user' AND arg_max(role, {'ms': ms, 'key': key}) = 'assistant')
+            SELECT conv_key, row_number() OVER (PARTITION BY conv_key ORDER BY ms, key) AS turn_no, key
+            FROM speech WHERE conv_key IN (SELECT conv_key FROM usable)""",
     }
