@@ -27,6 +27,10 @@ _REACH = 28  # characters before and after a span in which context words count
 # Full-width forms are read as their ASCII forms; the map keeps every position.
 _NARROW = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c) not in "，：；！？（）"} | {0x3000: 0x20, 0xA0: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2012: 0x2D, 0x2013: 0x2D, 0xFF08: 0x28, 0xFF09: 0x29}
 
+_WIDE = re.compile("[！-／０-９＜-＞＠-～\u3000\xa0\u2010-\u2013]".replace("！-／", "＂-＇＊＋－-／（）"))
+_SENTENCE_END = re.compile(r"[。！？\n]|[.!?]\s(?=[A-Z一-鿿])")
+_DIGIT = re.compile(r"\d")
+
 # ---------------------------------------------------------------- mail addresses
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]{0,62}[A-Za-z0-9_])?"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})"
@@ -35,7 +39,7 @@ _AT = r"(?:\s?[\[({<]\s?(?:at|AT|At|@)\s?[\])}>]\s?)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|Dot|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\.)"
 _EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}@(?:{_LABEL}\.)+{_TLD}(?![A-Za-z0-9-]|\.[A-Za-z0-9])")
 _EMAIL_HIDDEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_AT}(?:{_LABEL}{_DOT})+{_TLD}|\s?@\s?(?:{_LABEL}{_DOT})+{_TLD}|\s(?:at|AT)\s(?:{_LABEL}\s(?:dot|DOT)\s)+{_TLD})(?![A-Za-z0-9-])")
-_EMAIL_HINT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\bat\b.{1,64}\bdot\b", re.I | re.S)
+_EMAIL_BRACKETED = re.compile(r"[\[({<]\s?(?:at|AT|At)\s?[\])}>]")
 
 # ---------------------------------------------------------------- telephone numbers
 _SEP = r"[ ./-]?"
@@ -54,23 +58,29 @@ _ID = re.compile(
     r"(?<![A-Za-z0-9_.@#/=+-])(?:"
     r"(?P<cn>\d{6}[ -]?(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ -]?\d{3}[\dXx])"
     r"|(?P<ssn>\d{3}(?P<sep>[ -])\d{2}(?P=sep)\d{4})"
-    r"|(?P<ni>[A-CEGHJ-PR-TW-Za-z][A-Za-z]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d])"
     r"|(?P<nir>[12]\s?\d{2}\s?(?:0[1-9]|1[0-2])\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2})"
-    r"|(?P<pass>[A-Za-z]{1,2}\s?\d{7,8})"
     r")(?![A-Za-z0-9_@]|[-./]\d)"
 )
+_INSURANCE = re.compile(r"\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d](?![A-Za-z0-9_@])")
+_INSURANCE_HEAD = re.compile(r"(?<![A-Za-z0-9_.@#/=+-])[A-Za-z]{2}\s?$")
+_PASSPORT = re.compile(r"\d{7,8}(?![A-Za-z0-9_@]|[-./]\d)")
+_PASSPORT_HEAD = re.compile(r"(?<![A-Za-z0-9_.@#/=+-])[A-Za-z]{1,2}\s?$")
+#: Stretches that hold the digits of numbers; only these are looked at more closely.
+_RUN = re.compile(r"[+(\d][\d ()./+xX-]{4,}\d")
 # ---------------------------------------------------------------- street addresses
+_HAN = "(?:(?![到在住寄了去至往于是放的给从])[一-鿿])"
 _HAN_ROAD = re.compile(
-    r"(?:[一-鿿]{2,3}?(?:街口|渡口|集市|[省市区县镇乡村站岭塘湖坡里埠巷])){0,3}[一-鿿]{2,4}?(?:大道|大街|胡同|[路街巷弄道])\s?[0-9一二三四五六七八九十百]{1,6}\s?号"
-    r"(?:附\s?\d+\s?号)?(?:院)?(?:\s?\d+\s?(?:幢|栋|号楼|座))?(?:\s?\d+\s?单元)?(?:\s?\d+\s?层)?(?:\s?\d+\s?室?(?!\d))?"
+    r"[路街巷弄道同]\s?[0-9一二三四五六七八九十百]{1,6}\s?号(?:附\s?\d+\s?号)?(?:院)?(?:\s?\d+\s?(?:幢|栋|号楼|座))?(?:\s?\d+\s?单元)?(?:\s?\d+\s?层)?(?:\s?\d+\s?室?(?!\d))?"
 )
+_HAN_ROAD_HEAD = re.compile(rf"(?:{_HAN}{{2,3}}?(?:街口|渡口|集市|[省市区县镇乡村站岭塘湖坡里埠巷])){{0,3}}{_HAN}{{2,4}}$")
 _ROAD_WORD = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Boulevard|Blvd|Drive|Dr|Way|Place|Pl|Terrace|Ter|Square|Sq|Crescent|Close|Row|Mews|Highway|Hwy)"
 _TOWN = r"(?:,?\s[A-Z][\w'-]+(?:\s[A-Z][\w'-]+)?,?\s(?:[A-Z]{2}\s)?\d{5}(?:-\d{4})?)"
 _ROAD = re.compile(
-    rf"(?:(?:Unit|Flat|Apt|Apartment|Suite)\.?\s?\d+[A-Za-z]?,?\s)?(?<![\d.,])\b\d{{1,5}}[A-Za-z]?,?\s(?:(?:North|South|East|West|N|S|E|W)\.?\s)?(?:[^\W\d_][\w'-]+\s){{1,3}}{_ROAD_WORD}\b\.?(?:,?\s(?:Apt|Unit|Suite|Flat)\.?\s?\d+[A-Za-z]?)?{_TOWN}?",
-    re.I,
+    rf"\d{{1,5}}[A-Za-z]?,?\s(?:(?:North|South|East|West|N|S|E|W)\.?\s)?(?:(?!(?i:to|of|at|from|and|the|in|on|for)\b)[A-ZÄÖÜ][\w'-]+\s){{1,3}}(?i:{_ROAD_WORD})\b\.?(?:,?\s(?:Apt|Unit|Suite|Flat)\.?\s?\d+[A-Za-z]?)?{_TOWN}?"
 )
-_STRASSE = re.compile(r"\b[^\W\d_][\w-]*(?:straße|strasse|str\.|stra\ss?e|weg|allee|gasse|platz|ufer|ring|damm|chaussee)\s{1,2}\d{1,4}\s?[a-hA-H]?\b(?!\s?(?:Uhr|km|%))(?:,?\s\d{5}\s[^\W\d_][\w-]+)?", re.I)
+_ROAD_HEAD = re.compile(r"(?:Unit|Flat|Apt|Apartment|Suite)\.?\s?\d+[A-Za-z]?,?\s$", re.I)
+_HOUSE = re.compile(r"\s{1,2}\d{1,4}\s?[a-hA-H]?\b(?!\s?(?:Uhr|km|%))(?:,?\s\d{5}\s[^\W\d_][\w-]+)?")
+_STRASSE_HEAD = re.compile(r"(?<![\w-])[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|ring|damm|chaussee)$", re.I)
 # ---------------------------------------------------------------- names
 # Frequent Chinese family names, titles, and words that stand before or after a person's name.
 SURNAMES = (
@@ -79,20 +89,22 @@ SURNAMES = (
 )
 _HAN_SURNAME = rf"(?:欧阳|司徒|司马|诸葛|上官|皇甫|令狐|慕容|东方|尉迟|夏侯|公孙|[{SURNAMES}])"
 _HAN_TITLE = r"(?:先生|女士|小姐|太太|夫人|医生|大夫|老师|教授|博士|律师|师傅|经理|主任)"
-_HAN_NAME = re.compile(
-    rf"(?P<cue>联系人(?:是|为)?[:：]?|签收人(?:写的)?(?:是|为)?[:：]?|收[件货]人(?:是|为)?[:：]?|预约的是|预约人[:：]?|的?事问|认识了?|我叫|我是|名叫|姓名(?:是|为)?[:：]?|名字(?:是|叫)|找|问|请|感谢|谢谢|多亏)?\s?"
-    rf"(?P<name>{_HAN_SURNAME}[一-鿿]{{0,2}}?)(?P<title>{_HAN_TITLE})?(?=[，。；、！？!?,.;\s)）]|$|(?P<after>签收|约|送|的|说|打来))"
+_HAN_NAME = re.compile(rf"(?P<name>{_HAN_SURNAME}[一-鿿]{{0,2}}?)(?P<title>{_HAN_TITLE})?(?=[，。；、！？!?,.;\s)）]|$|签收|约|送|的|说|打来)")
+_HAN_CUE = re.compile(
+    r"(?:联系人(?:是|为)?[:：]?|签收人(?:写的)?(?:是|为)?[:：]?|收[件货]人(?:是|为)?[:：]?|预约的是|预约人[:：]?|的?事问|认识了|我叫|姓名(?:是|为)?[:：]?|名字(?:是|叫)|(?P<weak>认识|我是|名叫|找|问|请|感谢|谢谢|多亏))\s?$"
 )
+_COMPOUND = ("欧阳", "司徒", "司马", "诸葛", "上官", "皇甫", "令狐", "慕容", "东方", "尉迟", "夏侯", "公孙")
 _CAP = r"(?:(?:[A-ZÄÖÜ]['’])?[A-ZÄÖÜ][a-zäöüßéèáó]+(?:-[A-ZÄÖÜ][a-zäöüßéèáó]+)?|[A-ZÄÖÜ]{2,}(?:['’-][A-ZÄÖÜ]+)?|[A-ZÄÖÜ]['’][A-ZÄÖÜ]{2,})"
 _FULL = rf"(?:{_CAP},\s{_CAP}|{_CAP}(?:\s[A-Z]\.)?(?:\s(?:van|von|de|der|la))?\s{_CAP})"
-_TITLED = rf"(?i:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Herr|Herrn|Frau|Sir|Madam)\.?\s{_CAP}(?:\s{_CAP})?"
-_CUE = (
-    r"(?i:\bask|\bi met|\bmet|\bappointment is with|\bappointment with|\bcontact person:|\bcontact:|\bthanks to|\bmy name is|\bi am called|\bname:|\bsigned by|\baddressed to|\battn:?|\bdear|\bspoke (?:to|with)|\bcare of|\bc/o"
-    r"|\bansprechpartner(?:in)?:|\bich heiße|\bmein name ist|\btermin (?:ist )?(?:bei|mit)|\bdank an|\bunterschrieben von)"
+_TITLED = rf"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Herr|Herrn|Frau|Sir|Madam|MR|MRS|MS|DR|PROF|HERR|FRAU)\.?\s{_CAP}(?:\s(?!(?:The|This|That|In|On|At|A|An|And|Das|Der|Die|I)\b){_CAP})?"
+_CUE = re.compile(
+    r"(?:\b(?:ask|i met|met|appointment is with|appointment with|contact person:|contact:|thanks to|my name is|i am called|name:|signed by|addressed to|attn:?|dear|spoke (?:to|with)|care of|c/o"
+    r"|ansprechpartner(?:in)?:|ich heiße|mein name ist|termin (?:ist )?(?:bei|mit)|dank an|unterschrieben von))\s$",
+    re.I,
 )
-_NAME_CUED = re.compile(rf"{_CUE}\s(?P<name>{_TITLED}|{_FULL})")
-_NAME_TITLED = re.compile(rf"(?<![\w-])(?P<name>{_TITLED})(?![\w-])")
-_NAME_BEFORE = re.compile(rf"(?<![\w'’-])(?P<name>{_TITLED}|{_FULL})(?=\s(?:signed for|signed it|hat unterschrieben|called back|left a message))")
+_NAME = re.compile(rf"(?P<titled>{_TITLED})|(?!(?:Ask|Met|Dear|Call|Contact|Attn|Name|Signed|Thanks|The|This|That|In|On|At|A|An|I|And|Das|Der|Die)\b)(?P<full>{_FULL})")
+_CAPITALS = re.compile(r"[A-ZÄÖÜ](?=[\w.'’-]*,?\s(?:[A-Z]\.\s)?(?:(?:van|von|de|der|la)\s)?[A-ZÄÖÜ])")
+_NAME_AFTER = re.compile(r"\s(?:signed for|signed it|hat unterschrieben|called back|left a message)")
 # Words that are part of places and things, not of persons.
 _NOT_PERSON = re.compile(r"\b(?:Museum|Station|Street|Road|Avenue|Lane|Court|Blvd|Project|Lake|River|Mount|Bridge|Market|University|School|Hospital|Hotel|Park|Library|The|This|That|Chapter|Section|Room|Building|Order|Handle|Straße)\b", re.I)
 
@@ -140,53 +152,90 @@ def _score_phone(m: re.Match) -> float:
     return {"us": 0.65, "uk": 0.6, "de": 0.45, "land": 0.6}[kind] - 0.2 * bare
 
 
-def _score_id(m: re.Match, near: str) -> float:
+def _score_id(m: re.Match) -> float:
     kind = m.lastgroup if m.lastgroup != "sep" else "ssn"
     digits = re.sub(r"[ -]", "", m.group())
     if kind == "cn":
         return 0.8 if _real_date(digits[6:14]) and mod_11_2(digits) else 0.0
     if kind == "ssn":
         return 0.55 if digits[3:5] != "00" and digits[5:] != "0000" and digits[:3] not in ("000", "666") else 0.0
-    if kind == "ni":
-        return 0.35 + 0.3 * bool(re.search(r"\b(?:NI|National Insurance|insurance)\b|国民保险", near, re.I))
-    if kind == "nir":
-        return 0.6 if mod_97(digits) and not luhn(digits) else 0.0
-    return 0.2 + 0.5 * bool(re.search(r"passport|reisepass|护照", near, re.I))
+    return 0.6 if mod_97(digits) and not luhn(digits) else 0.0
+
+
+def _in_context(t: str, start: int, end: int, kind: str, score: float) -> tuple[float, int, int, str]:
+    raise_, lower = _CONTEXT[kind]
+    before = _SENTENCE_END.split(t[max(0, start - _REACH) : start])[-1]
+    after = _SENTENCE_END.split(t[end : end + _REACH // 2])[0]
+    return score + 0.2 * bool(raise_.search(before)) - 0.5 * bool(lower.search(before) or lower.search(after)), start, end, kind
+
+
+def _numbers(t: str) -> Iterator[tuple[float, int, int, str]]:
+    for run in _RUN.finditer(t):
+        s, e = run.span()
+        if sum(c.isdigit() for c in run.group()) < 6:
+            continue
+        for m in _ID.finditer(t, max(0, s - 1), e + 2):
+            if score := _score_id(m):
+                yield _in_context(t, *m.span(), "id_number", score)
+        for m in _PHONE.finditer(t, max(0, s - 1), e + 14):
+            if score := _score_phone(m):
+                yield _in_context(t, *m.span(), "phone", score)
+        for rx, head, words, base in ((_INSURANCE, _INSURANCE_HEAD, r"\bNI\b|insurance|国民保险", 0.35), (_PASSPORT, _PASSPORT_HEAD, r"passport|reisepass|护照", 0.2)):
+            for m in rx.finditer(t, s, e + 4):
+                before = t[max(0, m.start() - _REACH) : m.start()]
+                if h := head.search(before):
+                    yield _in_context(t, m.start() - len(h.group()), m.end(), "id_number", base + 0.35 * bool(re.search(words, before, re.I)))
+
+
+def _addresses(t: str) -> Iterator[tuple[float, int, int, str]]:
+    for m in _HAN_ROAD.finditer(t):
+        head = t[max(0, m.start() - 18) : m.start()]
+        if t[m.start()] == "道" and head[-1:] == "大" or t[m.start()] == "街" and head[-1:] == "大":
+            head = head[:-1]
+        if h := _HAN_ROAD_HEAD.search(head):
+            yield 0.8, max(0, m.start() - 18) + h.start(), m.end(), "address"
+    for m in _ROAD.finditer(t):
+        before = t[max(0, m.start() - 16) : m.start()]
+        if not before or not (before[-1].isalnum() or before[-1] in ".,-/" or re.search(r"\bBus\s$", before)):
+            h = _ROAD_HEAD.search(before)
+            yield 0.7, m.start() - (len(h.group()) if h else 0), m.end(), "address"
+    for m in _HOUSE.finditer(t):
+        if h := _STRASSE_HEAD.search(t[max(0, m.start() - 32) : m.start()]):
+            yield 0.7, m.start() - len(h.group()), m.end(), "address"
+
+
+def _names(t: str) -> Iterator[tuple[float, int, int, str]]:
+    if not t.isascii():
+        for m in _HAN_NAME.finditer(t):
+            name, title = m["name"], m["title"]
+            cue = _HAN_CUE.search(t[max(0, m.start() - 10) : m.start()])
+            if not cue and not title:
+                continue
+            given = len(name) - (2 if name[:2] in _COMPOUND else 1)
+            score = 0.1 + 0.5 * bool(cue and (given or title)) + 0.45 * bool(title) - 0.15 * bool(cue and cue["weak"] and not title)
+            yield score, m.start("name"), m.end("title") if title else m.end("name"), "name"
+    for c in _CAPITALS.finditer(t):
+        before = t[max(0, c.start() - 24) : c.start()]
+        if before and (before[-1].isalnum() or before[-1] in "_'’-@./"):
+            continue
+        m = _NAME.match(t, c.start())
+        if not m or _NOT_PERSON.search(m.group()):
+            continue
+        if m["titled"] or _CUE.search(before) or _NAME_AFTER.match(t, m.end()):
+            yield 0.75, m.start(), m.end(), "name"
 
 
 def _spans(text: str) -> Iterator[tuple[float, int, int, str]]:
-    t = text.translate(_NARROW) if not text.isascii() else text
-    if _EMAIL_HINT.search(t):
+    t = text.translate(_NARROW) if not text.isascii() and _WIDE.search(text) else text
+    hidden = _EMAIL_BRACKETED.search(t) or (" dot " in t and " at " in t) or (" DOT " in t and " AT " in t)
+    if hidden or "@" in t:
         for rx in (_EMAIL, _EMAIL_HIDDEN):
             for m in rx.finditer(t):
                 yield 0.95, m.start(), m.end(), "email"
-    if re.search(r"\d", t):
-        for kind, rx in (("id_number", _ID), ("phone", _PHONE)):
-            raise_, lower = _CONTEXT[kind]
-            for m in rx.finditer(t):
-                before, after = t[max(0, m.start() - _REACH) : m.start()], t[m.end() : m.end() + _REACH // 2]
-                before = re.split(r"[.。！!?？\n]\s*(?=\S{4})", before)[-1] if kind == "phone" else before
-                score = _score_id(m, before) if kind == "id_number" else _score_phone(m)
-                if score:
-                    score += 0.2 * bool(raise_.search(before)) - 0.5 * bool(lower.search(before) or lower.search(after))
-                    yield score, m.start(), m.end(), kind
-        for m in _HAN_ROAD.finditer(t):
-            yield 0.8, m.start(), m.end(), "address"
-        for rx in (_ROAD, _STRASSE):
-            for m in rx.finditer(t):
-                yield 0.7, m.start(), m.end(), "address"
-    for m in _HAN_NAME.finditer(t):
-        name, title = m["name"], m["title"]
-        compound = len(name) > 2 and name[:2] in ("欧阳", "司徒", "司马", "诸葛", "上官", "皇甫", "令狐", "慕容", "东方", "尉迟", "夏侯", "公孙")
-        given = len(name) - (2 if compound or name in ("欧阳", "司徒") else 1)
-        score = 0.1 + 0.5 * bool(m["cue"] and (given or title)) + 0.45 * bool(title) - 0.2 * (given > 2 and not compound)
-        if m["cue"] in ("找", "问", "请", "认识", "我是", "名叫", "谢谢", "感谢", "多亏") and not title:
-            score -= 0.15
-        yield score, m.start("name"), m.end("title") if title else m.end("name"), "name"
-    for rx, score in ((_NAME_CUED, 0.8), (_NAME_TITLED, 0.7), (_NAME_BEFORE, 0.75)):
-        for m in rx.finditer(t):
-            if not _NOT_PERSON.search(m["name"]):
-                yield score, m.start("name"), m.end("name"), "name"
+    if _DIGIT.search(t):
+        yield from _numbers(t)
+        yield from _addresses(t)
+    yield from _names(t)
 
 
 def find_personal_data(text: str | None) -> list[tuple[int, int, str]]:

@@ -25,7 +25,7 @@ from sparkivist.plans.session import table
 #: Folder of the vocabulary files; callers pass another one as a parameter.
 VOCABULARY_DIR = os.environ.get("SPARKIVIST_TOKENIZERS", "/opt/tokenizers")
 #: Fragments are at least so many bytes, since every call into the encoder costs a little.
-LEAST_BYTES = 512
+LEAST_BYTES = 2048
 # Fixed value: the pattern that splits text before merging, as the vocabulary's description states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
