@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkivist.llm import chunking, conversations, packing, privacy, tokenizer
+from sparkivist.llm import chunking, conversations, packing, privacy, spam, tokenizer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": tokenizer.ids_query,
         "p7_windows": packing.windows_query,
         "p7_fill": packing.fill_query,
+        "p8_found": spam.found_query,
     }
 
 
