@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkivist.llm import chunking, conversations, packing, privacy, spam, tokenizer
+from sparkivist.llm import chunking, conversations, neardup, packing, privacy, spam, tokenizer
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": chunking.found_query,
         "p1_pieces": chunking.pieces_query,
+        "p3_found": neardup.found_query,
+        "p3_groups": neardup.groups_query,
         "p4_found": privacy.found_query,
         "p4_redacted": privacy.redacted_query,
         "p5_found": conversations.found_query,
