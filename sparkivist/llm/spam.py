@@ -114,8 +114,7 @@ def stretches(classes: str) -> list[str]:
     return out + [held] if held else out
 
 
-_FUNCTION = frozenset("dnpvcDNPVCz")
-_LISTLIKE = frozenset("RJUHMKs[X")
+_FUNCTION, _LISTLIKE = b"dnpvcDNPVCz", b"RJUHMKs[X"
 
 
 def is_prose(line: str) -> bool:
@@ -123,7 +122,12 @@ def is_prose(line: str) -> bool:
     n = len(line)
     if n < 8 or line[-1] not in ".q" and "." not in line[-3:]:
         return False
-    return 6 * sum(c in _FUNCTION for c in line) >= n and 5 * sum(c in _LISTLIKE for c in line) <= n
+    b = line.encode("ascii")
+    return 6 * (n - len(b.translate(None, _FUNCTION))) >= n and 5 * (n - len(b.translate(None, _LISTLIKE))) <= n
+
+
+def prose_lines(classes: list[str]) -> list[str]:
+    return [line for c in classes for line in c.split("\n") if is_prose(line)]
 
 
 _CODE = np.zeros(128, dtype=np.int64)
@@ -140,13 +144,22 @@ LEAST_WEIGHT = 16
 DEVIATIONS = 4.5
 
 
-def _codes(piece: str) -> np.ndarray:
-    return _CODE[np.frombuffer(piece.encode("ascii"), dtype=np.uint8)]
+def _joined(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the pieces, each after two line ends; where each begins, and its length."""
+    codes = _CODE[np.frombuffer(("\n\n" + "\n\n".join(pieces)).encode("ascii"), dtype=np.uint8)]
+    size = np.array([len(p) for p in pieces], dtype=np.int64)
+    begin = np.cumsum(size + 2) - size
+    return codes, begin, size
 
 
 def _trigrams(codes: np.ndarray) -> np.ndarray:
-    padded = np.concatenate(([0, 0], codes))
-    return (padded[:-2] * _SIZE + padded[1:-1]) * _SIZE + padded[2:]
+    """The trigram that ends at each place from the third on."""
+    return (codes[:-2] * _SIZE + codes[1:-1]) * _SIZE + codes[2:]
+
+
+def _sums(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    run = np.concatenate(([0.0], np.cumsum(values)))
+    return run[begin + size] - run[begin]
 
 
 class ProseModel:
@@ -163,20 +176,23 @@ class ProseModel:
         p3 = (tri + smoothing * p2) / (tri.sum(axis=2, keepdims=True) + smoothing)
         self.bits = -np.log2(p3).reshape(-1)
 
-    def perplexity(self, codes: np.ndarray) -> float:
-        """Bits per token of a stretch."""
-        return float(self.bits[_trigrams(codes)].mean())
-
-    def abnormal_share(self, classes: str, low: float, high: float) -> float:
-        """Share, by weight, of the stretches outside [low, high]; 0 for documents with too little text."""
-        odd = total = 0.0
-        for piece in stretches(classes):
-            codes = _codes(piece)
-            weight = float(_WEIGHT[codes].sum())
-            total += weight
-            if not low <= self.perplexity(codes) <= high:
-                odd += weight
-        return odd / total if total >= LEAST_WEIGHT else 0.0
+    def perplexities(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per token of each piece, and its weight."""
+        if not pieces:
+            return np.empty(0), np.empty(0)
+        codes, begin, size = _joined(pieces)
+        bits = _sums(self.bits[_trigrams(codes)], begin - 2, size) / np.maximum(size, 1)
+        return bits, _sums(_WEIGHT[codes], begin, size)
+
+    def abnormal_shares(self, classes: list[str], low: float, high: float) -> list[float]:
+        """For each document the share, by weight, of the stretches outside [low, high]; 0 where there is too little text."""
+        pieces = [stretches(c) for c in classes]
+        bits, weight = self.perplexities([p for ps in pieces for p in ps])
+        odd = weight * ((bits < low) | (bits > high))
+        size = np.array([len(ps) for ps in pieces], dtype=np.int64)
+        begin = np.cumsum(size) - size
+        total, odd_total = _sums(weight, begin, size), _sums(odd, begin, size)
+        return np.where(total >= LEAST_WEIGHT, odd_total / np.maximum(total, 1), 0.0).tolist()
 
 
 def class_strings(docs: DataFrame) -> DataFrame:
@@ -196,10 +212,13 @@ def fit_prose_model(classes: DataFrame) -> ProseModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_SIZE**3, dtype=np.int64)
         for b in batches:
-            for c in b.column(0).to_pylist():
-                for line in c.split("\n"):
-                    if is_prose(line):
-                        np.add.at(counts, _trigrams(_codes(line + "\n")), 1)
+            if lines := prose_lines(b.column(0).to_pylist()):
+                codes, begin, size = _joined([line + "\n" for line in lines])
+                inside = np.zeros(len(codes) + 1, dtype=np.int64)
+                inside[begin] += 1
+                inside[begin + size] -= 1
+                tri = _trigrams(codes)[np.cumsum(inside)[2:-1] > 0]
+                counts += np.bincount(tri, minlength=_SIZE**3)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["trigram", "n"])
 
@@ -209,17 +228,11 @@ def fit_prose_model(classes: DataFrame) -> ProseModel:
 
 def prose_range(classes: DataFrame, model: ProseModel, deviations: float = DEVIATIONS) -> tuple[float, float]:
     """Bits between which the stretches of prose lie, from their mean and deviation over the corpus."""
-    bits = model.bits
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, squares = 0, 0.0, 0.0
         for b in batches:
-            for c in b.column(0).to_pylist():
-                for line in c.split("\n"):
-                    if is_prose(line):
-                        for piece in stretches(line):
-                            x = float(bits[_trigrams(_codes(piece))].mean())
-                            n, total, squares = n + 1, total + x, squares + x * x
+            x, _ = model.perplexities([p for line in prose_lines(b.column(0).to_pylist()) for p in stretches(line)])
+            n, total, squares = n + len(x), total + float(x.sum()), squares + float((x * x).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([squares])], names=["n", "total", "squares"])
 
     n, total, squares = classes.select("classes").mapInArrow(run, "n long, total double, squares double").agg(F.sum("n"), F.sum("total"), F.sum("squares")).first()
@@ -243,7 +256,7 @@ def find_spam(docs: DataFrame, share: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shares = [model.abnormal_share(c, low, high) for c in b.column(1).to_pylist()]
+            shares = model.abnormal_shares(b.column(1).to_pylist(), low, high)
             keep = [i for i, x in enumerate(shares) if x > share]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([round(shares[i], 6) for i in keep], pa.float64())], names=["doc_id", "abnormal_share"])
 
