@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkivist.operators import timestamps
+from sparkivist.plans import oracles, queries_evaluation, queries_records, queries_retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": timestamps.timestamps_query}
+    return {**queries_retrieval.QUERIES, **queries_records.QUERIES, **queries_evaluation.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
