@@ -38,6 +38,21 @@ def query_ngrams(query: str, n: int = 2, lower: bool = True) -> list[str]:
     return list(dict.fromkeys(s[i : i + n] for i in range(len(s) - n + 1)))
 
 
+def occurrences(text: Column | str, grams: list[str], lower: bool = True) -> Column:
+    """The n-grams of a text that are among ``grams``, in order and with repeats, by one look-ahead scan.
+
+    The pattern branches on the first character, so the cost per position is that of the distinct
+    first characters at most.
+    """
+    by: dict[str, list[str]] = {}
+    for g in grams:
+        by.setdefault(g[0], []).append(g[1:])
+    branches = "|".join(f"{head}[{''.join(tails)}]" if all(len(t) == 1 for t in tails) else f"{head}(?:{'|'.join(tails)})" for head, tails in by.items())
+    if not grams:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(folded(text, lower), F.lit(f"(?=({branches}))"), F.lit(1))
+
+
 def squared_norm(tokens: Column) -> Column:
     """Sum of the squared counts of the tokens of an array: a fold over the sorted array."""
     start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))

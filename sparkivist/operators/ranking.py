@@ -29,8 +29,7 @@ def distinctive_cap(n: Column) -> Column:
 def query_statistics(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     """One row: n, total (summed lengths in bigrams), dfs (document frequency by query token)."""
     q = T.query_ngrams(query)
-    base = once(docs.select(text), t=T.ngrams(text)).select("t")
-    base = once(base, dl=F.size("t").cast("long"), h=F.array_intersect(F.col("t"), _strings(q))).select("dl", "h")
+    base = once(docs.select(text), dl=_length(text), h=F.array_distinct(T.occurrences(text, q))).select("dl", "h")
     dfs = [F.count_if(F.array_contains("h", t)) for t in q]
     return base.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), (F.array(*dfs) if dfs else F.array().cast("array<long>")).alias("dfs"))
 
@@ -45,6 +44,11 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def _length(text: str) -> Column:
+    """Number of bigrams."""
+    return F.greatest(F.length(T.folded(text)) - 1, F.lit(0)).cast("long")
+
+
 def _count(tokens: str, token: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == token))
 
@@ -58,8 +62,8 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text: str =
     q = T.query_ngrams(query)
     stats = query_statistics(docs, query, text)
     n, total = stats.select("n").scalar(), stats.select("total").scalar()
-    toks = once(docs.select(id_col, text, *[c for c in keep if c != text]), t=T.ngrams(text)).drop(*([] if text in keep else [text]))
-    hits = once(toks, dl=F.greatest(F.size("t"), F.lit(1)), h=F.filter("t", lambda x: F.array_contains(_strings(q), x))).drop("t")
+    hits = once(docs.select(id_col, text, *[c for c in keep if c != text]), dl=F.greatest(_length(text), F.lit(1)), h=T.occurrences(text, q))
+    hits = hits.drop(*([] if text in keep else [text]))
     hits = hits.where(F.size("h") > 0).withColumns({"n": n, "avgdl": total / n, "dfs": stats.select("dfs").scalar()})
     hits = once(hits, tf=F.transform(_strings(q), lambda t: F.size(F.filter("h", lambda x: x == t)))).drop("h")
     hits = once(hits, z=F.filter(F.arrays_zip(F.col("tf").alias("tf"), F.col("dfs").alias("df")), lambda x: x["tf"] > 0))
@@ -81,10 +85,10 @@ def cosine_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text: str
     s = re.sub(r"[^\w]", "", query)
     counts = collections.Counter(s[i : i + 2] for i in range(len(s) - 1))
     norm = sum(c * c for c in counts.values()) ** 0.5
-    toks = once(docs.select(id_col, text), t=T.ngrams(text, lower=False)).drop(text)
-    hits = once(toks, h=F.filter("t", lambda x: F.array_contains(_strings(list(counts)), x))).where(F.size("h") > 0)
+    hits = once(docs.select(id_col, text), h=T.occurrences(text, list(counts), lower=False)).where(F.size("h") > 0)
     dot = reduce(lambda a, b: a + b, [_count("h", t) * c for t, c in counts.items()] or [F.lit(0)])
-    return once(hits, cosine=dot / (F.sqrt(T.squared_norm(F.col("t")).cast("double")) * norm)).select(id_col, "cosine")
+    length = F.sqrt(T.squared_norm(T.ngrams(text, lower=False)).cast("double"))
+    return once(hits, cosine=dot / (length * norm)).select(id_col, "cosine")
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -154,8 +158,12 @@ def graph_edges(docs: DataFrame, id_col: str = "doc_id", text: str = "text", top
 
 def seed_neighbours(docs: DataFrame, seeds: DataFrame, id_col: str = "doc_id", text: str = "text", top_k: int = GRAPH_TOP) -> DataFrame:
     """(src, dst, rank) for the few seeds only: their tokens are broadcast against the postings."""
-    p = cut_lineage(distinctive_postings(docs.select(id_col, text), id_col, text))
-    own = p.join(F.broadcast(seeds.select(id_col)), id_col).select(F.col(id_col).alias("src"), F.col("token").alias("_t"))
+    own = cut_lineage(postings(docs.join(F.broadcast(seeds.select(id_col)), id_col, "left_semi"), id_col, text).select(F.col(id_col).alias("src"), F.col("token").alias("_t")))
+    wanted = own.select(F.col("_t").alias("token")).distinct()
+    p = cut_lineage(postings(docs, id_col, text).join(wanted, "token", "left_semi"))
+    n = docs.agg(F.count("*")).scalar()
+    dfs = p.groupBy("token").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= F.least(distinctive_cap(n), F.lit(GRAPH_DF_CAP))))
+    p = p.join(dfs, "token").select(id_col, "token", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     pairs = p.join(own, p["token"] == own["_t"]).where(F.col(id_col) != F.col("src")).groupBy("src", id_col).agg(F.round(F.sum("idf"), 6).alias("strength"))
     w = W.partitionBy("src").orderBy(F.desc("strength"), id_col)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("src", F.col(id_col).alias("dst"), "rank")
@@ -169,7 +177,7 @@ def hybrid_retrieve(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc
     fusion only if it adds a document. Without a candidate there is no result.
     """
     scores = cut_lineage(bm25_scores(docs, query, id_col).where("admitted AND score > 0").select(id_col, F.round("score", 6).alias("score")))
-    cosines = cosine_scores(docs, query, id_col).join(scores.select(id_col), id_col, "left_semi").select(id_col, F.round("cosine", 6).alias("score"))
+    cosines = cosine_scores(docs.join(scores.select(id_col), id_col, "left_semi"), query, id_col).select(id_col, F.round("cosine", 6).alias("score"))
     lexical, vector = global_rank(scores, F.desc("score"), F.asc(id_col)), global_rank(cosines, F.desc("score"), F.asc(id_col))
     both = lexical.where(F.col("rank0") < GRAPH_SEEDS).select(id_col, F.col("rank0").alias("at")).unionByName(vector.where(F.col("rank0") < GRAPH_SEEDS).select(id_col, (F.col("rank0") + GRAPH_SEEDS).alias("at")))
     seeds = cut_lineage(both.groupBy(id_col).agg(F.min("at").alias("at")))  # six rows at most

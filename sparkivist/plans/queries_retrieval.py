@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkivist.functions import chunkers
 from sparkivist.functions import text as T
 from sparkivist.operators import gates, ranking, vectors
-from sparkivist.plans.session import cut_lineage, table
+from sparkivist.plans.session import cut_lineage, spread, table
 
 QUERY = "the budget for the winter trip to Haldenmere"
 QUERY_HAN = "冬天出行的预算和两只白鹭的故事"
@@ -18,7 +18,7 @@ PROBES = ["the budget for the winter trip", "两只白鹭的故事", "submarine
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def bigram_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 def rrf_two_route(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     a = cut_lineage(ranking.bm25_scores(docs, QUERY).where("admitted").select("doc_id", F.round("score", 6).alias("score")))
-    b = ranking.cosine_scores(docs, QUERY).join(a.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.round("cosine", 6).alias("score"))
+    b = ranking.cosine_scores(docs.join(a.select("doc_id"), "doc_id", "left_semi"), QUERY).select("doc_id", F.round("cosine", 6).alias("score"))
     order = (F.desc("score"), F.asc("doc_id"))
     fused = ranking.fuse([(ranking.global_rank(a, *order), 60), (ranking.global_rank(b, *order), 60)]).select("doc_id", F.round("fused", 9).alias("fused"))
     return ranking.top(fused, 20, F.desc("fused"), F.asc("doc_id"))
