@@ -33,6 +33,7 @@ FILTERS, ORDERS_PER_FILTER = 44, 6
 SKETCH, SKETCH_AGREE = 32, 12
 
 _DELETED = re.compile(r"[\W_]+")
+_ASCII_DELETED = {c: None for c in range(128) if not chr(c).isalnum()}
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -49,7 +50,8 @@ _MULTIPLIERS = _constants(_N_ORDERS, 17)
 
 def normalise(text: str) -> str:
     """Lower case, letters and digits only (Unicode L and N)."""
-    return _DELETED.sub("", text.lower())
+    low = text.lower()
+    return low.translate(_ASCII_DELETED) if low.isascii() else _DELETED.sub("", low)
 
 
 def token_stream(norm: str) -> np.ndarray:
@@ -69,15 +71,17 @@ def token_stream(norm: str) -> np.ndarray:
 
 def tokens(norm: str) -> np.ndarray:
     """Sorted distinct tokens."""
-    return np.unique(token_stream(norm))
+    h = np.sort(token_stream(norm))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
 def prefixes(stream: np.ndarray, first: int, last: int) -> np.ndarray:
     """The place of the first token under each of the orders first..last-1; repeats don't matter."""
     low, by = (stream >> np.uint64(32)).astype(np.uint32), _MULTIPLIERS[first:last]
     best = np.full(last - first, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(low), 256):  # blocks that stay in the cache
-        np.minimum(best, (low[at : at + 256, None] * by).min(axis=0), out=best)
+    block = max(1, 65536 // len(by))  # products that stay in the cache
+    for at in range(0, len(low), block):
+        np.minimum(best, (low[at : at + block, None] * by).min(axis=0), out=best)
     return best
 
 
@@ -106,7 +110,8 @@ def node_id(norm: str) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    both = np.sort(np.concatenate((a, b)))
+    common = int((both[1:] == both[:-1]).sum())
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 0.0
 
 
