@@ -255,4 +255,24 @@ def sql() -> dict[str, str]:
             p AS (SELECT line, lead FROM (SELECT unnest([0.2, 0.3, 0.4, 0.5]::DOUBLE[]) AS line), (SELECT unnest([0.0, 0.02, 0.05]::DOUBLE[]) AS lead))
             SELECT line, lead, round(avg(((s1 >= line AND round(s1 - s2, 4) >= lead) OR (s2 >= line AND round(s2 - s3, 4) >= lead))::INT), 6) AS rate FROM g, p GROUP BY ALL""",
     }
-    return out
+    role = "CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'model') THEN 'assistant' END"
+    spoken = f"sp AS (SELECT conv_key, key, row_id, {role} AS role, round({_EPOCH}, 3) AS at_, length(coalesce(text, '')) AS chars FROM archive_msgs)"
+    hits = " + ".join(f"({_contains(t)})::INT" for t in ("winter trip", "cat", "garden wall"))
+    return out | {
+        "topic_coverage": f"SELECT doc_id, hits, round(hits / 3.0, 6)::DOUBLE AS coverage FROM (SELECT doc_id, {hits} AS hits FROM documents) WHERE hits > 0 AND hits / 3.0 >= 0.6",
+        "delivery_budget": """WITH one AS (SELECT record_id, max(strlen(text)) AS bytes FROM memory_entries WHERE text IS NOT NULL GROUP BY record_id),
+            r AS (SELECT recall_id, unnest(range(0, len(recall))) AS pos, recall FROM recall_log),
+            x AS (SELECT recall_id, pos, recall[pos + 1].record_id AS record_id, recall[pos + 1].score AS score FROM r),
+            s AS (SELECT recall_id, x.record_id, sum(bytes) OVER (PARTITION BY recall_id ORDER BY -score NULLS FIRST, pos ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM x JOIN one ON x.record_id = one.record_id)
+            SELECT recall_id, record_id, used FROM s WHERE used <= 2400""",
+        "first_exchange": f"""WITH {spoken} SELECT conv_key, arg_min(key, {{'a': at_, 'k': key}}) FILTER (role = 'user') AS first_user, arg_min(key, {{'a': at_, 'k': key}}) FILTER (role = 'assistant') AS first_reply FROM sp WHERE at_ IS NOT NULL AND conv_key IS NOT NULL GROUP BY conv_key""",
+        "boundary_cut": f"""WITH {spoken}, m AS (SELECT * FROM sp WHERE at_ IS NOT NULL AND conv_key IS NOT NULL), t AS (SELECT *, sum(chars) OVER (PARTITION BY conv_key ORDER BY at_ DESC, row_id DESC ROWS UNBOUNDED PRECEDING) AS tail FROM m),
+            b AS (SELECT conv_key, max({{'a': at_, 'r': row_id}}) AS p FROM t WHERE tail >= 2000 GROUP BY conv_key)
+            SELECT conv_key, arg_min(row_id, {{'a': at_, 'r': row_id}}) AS cut_at FROM m JOIN b USING (conv_key) WHERE role = 'user' AND {{'a': at_, 'r': row_id}} >= p GROUP BY conv_key""",
+        "source_drift": """WITH c AS (SELECT source_id, count(*) FILTER (year(ingested_at) < 2025) AS before, count(*) FILTER (year(ingested_at) >= 2025) AS after FROM memory_entries WHERE source_id IS NOT NULL AND ingested_at IS NOT NULL GROUP BY source_id)
+            SELECT source_id, before, after, CASE WHEN before = 0 THEN 'new' WHEN after = 0 THEN 'gone' WHEN after * 2 < before THEN 'collapsed' WHEN after > before THEN 'grown' ELSE 'same' END AS change FROM c""",
+        "conflict_components": """WITH RECURSIVE e0 AS (SELECT hash AS a, replaced_by AS b FROM retraction_ledger UNION SELECT hash, source_id FROM retraction_ledger), e AS (SELECT a, b FROM e0 WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+            g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT a AS node, a AS seen FROM g UNION SELECT w.node, g.b FROM w JOIN g ON w.seen = g.a)
+            SELECT node, min(seen) AS root FROM w GROUP BY node""",
+        "frequent_strings": """SELECT gram, count(*) AS docs FROM (SELECT rowid_, unnest(list_distinct(list_filter(list_transform(range(1, length(fact) - 2), lambda i: substring(fact, i, 4)), lambda x: regexp_full_match(x, '\\p{Han}{4}')))) AS gram FROM (SELECT row_number() OVER () AS rowid_, fact FROM passive_facts WHERE fact IS NOT NULL)) GROUP BY gram HAVING count(*) >= 3""",
+    }

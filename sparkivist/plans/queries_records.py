@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkivist.operators import facts, gates, ledger, recall, sessions, timestamps
+from sparkivist.operators import facts, gates, ledger, passive, recall, sessions, timestamps
 from sparkivist.plans.session import table
 
 NOW = 1704672000.0  # 2024-01-08 00:00 UTC, inside the span of the events
@@ -214,8 +214,52 @@ def transcript(spark, d):
     return g.groupBy("conv_key", "day").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")).alias("hash"), F.count("*").alias("lines"))
 
 
+def topic_coverage(spark, d):
+    return passive.topic_coverage(table(spark, d, "documents"), ["winter trip", "cat", "garden wall"], least=0.6)
+
+
+def delivery_budget(spark, d):
+    """Recalled records in order of score while a recall's text stays within 2,400 bytes."""
+    one = table(spark, d, "memory_entries").where("text IS NOT NULL").groupBy(F.col("record_id").alias("_rid")).agg(F.max(F.octet_length("text")).alias("bytes"))
+    r = recall.explode_recalls(table(spark, d, "recall_log"))
+    sized = r.join(one, r["record_id"] == one["_rid"]).select("recall_id", "pos", "score", "record_id", F.col("bytes").cast("long").alias("bytes"))
+    return passive.within_budget(sized.withColumn("down", -F.col("score")), "recall_id", ["down", "pos"], "bytes", 2400).select("recall_id", "record_id", "used")
+
+
+def _spoken(spark, d):
+    m = table(spark, d, "archive_msgs")
+    name = F.lower(F.trim("role"))
+    role = F.when(name.isin("user", "human"), "user").when(name.isin("assistant", "ai", "model"), "assistant")
+    return m.select("conv_key", "key", "row_id", role.alias("role"), F.round(sessions.epoch_seconds(F.col("epoch")), 3).alias("at"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+
+
+def first_exchange(spark, d):
+    return passive.first_exchange(_spoken(spark, d))
+
+
+def boundary_cut(spark, d):
+    return passive.boundary_cut(_spoken(spark, d), 2000)
+
+
+def source_drift(spark, d):
+    e = table(spark, d, "memory_entries").where("source_id IS NOT NULL AND ingested_at IS NOT NULL")
+    late = F.year("ingested_at") >= 2025
+    return passive.drift(e.where(~late).select("source_id"), e.where(late).select("source_id"), "source_id")
+
+
+def conflict_components(spark, d):
+    """Components of records linked by replacement or by a shared window."""
+    r = table(spark, d, "retraction_ledger").select(F.col("hash").alias("a"), F.col("replaced_by").alias("b"))
+    s = table(spark, d, "retraction_ledger").select(F.col("hash").alias("a"), F.col("source_id").alias("b"))
+    return passive.conflict_components(r.unionByName(s))
+
+
+def frequent_strings(spark, d):
+    return passive.frequent_strings(table(spark, d, "passive_facts").select(F.col("fact").alias("text")), 4)
+
+
 _FUNCTIONS = (
-    recall_recent, recall_per_day_cap, recall_weights, most_recalled, recalled_snippets, recall_triggers, days_overview, retracted_visibility, retraction_reasons, supersession_chain, chain_violations, file_difference, session_gap,
+    topic_coverage, delivery_budget, first_exchange, boundary_cut, source_drift, conflict_components, frequent_strings, recall_recent, recall_per_day_cap, recall_weights, most_recalled, recalled_snippets, recall_triggers, days_overview, retracted_visibility, retraction_reasons, supersession_chain, chain_violations, file_difference, session_gap,
     session_summary, session_size_cap, message_epochs, message_dedup, archive_batches, import_statistics, entry_turns, input_gate, message_intent, near_dup_facts, near_dup_survivors, clean_facts, fact_search, facts_per_day, older_states,
     uncovered_records, facts_live, window_siblings, index_bridge, json_props, interval_coverage, event_windows, latest_by_user, pricing_summary, transcript,
 )
