@@ -32,6 +32,13 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": r"""
             SELECT DISTINCT entry_id FROM memory_entries
             WHERE length(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) > 800""",
+        # All pairs of texts that share a run of five; quick enough on the tables of the comparison.
+        "p3_found": r"""
+            WITH e AS (SELECT DISTINCT entry_id, regexp_replace(lower(text), '[^\pL\pN]', '', 'g') AS s FROM memory_entries WHERE text IS NOT NULL),
+            t AS MATERIALIZED (SELECT entry_id, unnest(list_distinct(list_transform(range(1, length(s) - 3), lambda i: substring(s, i, 5)))) AS g FROM e WHERE length(s) >= 200),
+            n AS (SELECT entry_id, count(*) AS n FROM t GROUP BY entry_id),
+            c AS (SELECT a.entry_id AS entry_a, b.entry_id AS entry_b, count(*) AS k FROM t a JOIN t b USING (g) WHERE a.entry_id < b.entry_id GROUP BY ALL)
+            SELECT entry_a, entry_b FROM c JOIN n x ON entry_a = x.entry_id JOIN n y ON entry_b = y.entry_id WHERE k >= 0.7 * (x.n + y.n - k)""",
         "p5_found": r"""
             WITH judged AS (
               SELECT conv_key, key,
