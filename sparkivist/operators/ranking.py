@@ -61,10 +61,10 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text: str =
     """
     q = T.query_ngrams(query)
     stats = query_statistics(docs, query, text)
-    n, total = stats.select("n").scalar(), stats.select("total").scalar()
+    known = stats.select(F.struct("n", (F.col("total") / F.col("n")).alias("avgdl"), "dfs")).scalar()  # one subquery for all three
     hits = once(docs.select(id_col, text, *[c for c in keep if c != text]), dl=F.greatest(_length(text), F.lit(1)), h=T.occurrences(text, q))
     hits = hits.drop(*([] if text in keep else [text]))
-    hits = hits.where(F.size("h") > 0).withColumns({"n": n, "avgdl": total / n, "dfs": stats.select("dfs").scalar()})
+    hits = hits.where(F.size("h") > 0).withColumn("known", known).select("*", "known.*").drop("known")
     hits = once(hits, tf=F.transform(_strings(q), lambda t: F.size(F.filter("h", lambda x: x == t)))).drop("h")
     hits = once(hits, z=F.filter(F.arrays_zip(F.col("tf").alias("tf"), F.col("dfs").alias("df")), lambda x: x["tf"] > 0))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
