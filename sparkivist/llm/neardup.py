@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkivist.plans.session import cut_lineage, table
+from sparkivist.plans.session import cut_lineage, spread, table
 
 RUN = 5
 LEAST_CHARS = 200
@@ -285,7 +285,7 @@ def similar_groups(entries: DataFrame) -> DataFrame:
 
 def found_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p3_found over the whole of memory_entries."""
-    return similar_pairs(table(spark, sf_dir, "memory_entries"))
+    return similar_pairs(spread(table(spark, sf_dir, "memory_entries").select("entry_id", "text")))
 
 
 def groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:

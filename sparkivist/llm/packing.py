@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkivist.llm.tokenizer import count_tokens
-from sparkivist.plans.session import cut_lineage, parallelism, table
+from sparkivist.plans.session import cut_lineage, parallelism, spread, table
 
 CAPACITY = 2048
 
@@ -117,7 +117,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, fill: bool = True) -> DataF
 
 def windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p7_windows: the training window of each document, or of each piece of a longer one."""
-    sizes = cut_lineage(count_tokens(table(spark, sf_dir, "documents")))  # read by the histogram and the placing
+    sizes = cut_lineage(count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))  # read by the histogram and the placing
     return pack(sizes)
 
 

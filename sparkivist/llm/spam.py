@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkivist.plans.session import cut_lineage, table
+from sparkivist.plans.session import cut_lineage, spread, table
 
 # Frequent function words of English and German by kind, and Han characters of that use.
 _WORDS = {
@@ -265,4 +265,4 @@ def find_spam(docs: DataFrame, share: float = 0.5) -> DataFrame:
 
 def found_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p8_found: doc_id of the pages that consist mainly of keywords, links or tags."""
-    return find_spam(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return find_spam(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id").distinct()

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkivist.plans.session import table
+from sparkivist.plans.session import spread, table
 
 #: Folder of the vocabulary files; callers pass another one as a parameter.
 VOCABULARY_DIR = os.environ.get("SPARKIVIST_TOKENIZERS", "/opt/tokenizers")
@@ -147,4 +147,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6_ids: every document's ids by byte_bpe_50k."""
-    return encode_corpus(table(spark, sf_dir, "documents"))
+    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
