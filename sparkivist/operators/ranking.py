@@ -192,3 +192,20 @@ def hybrid_retrieve(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc
     fused = fuse(routes, id_col).select(id_col, F.round("fused", 9).alias("fused"))
     ranked = global_rank(fused.join(docs.select(id_col, layer), id_col), F.desc("fused"), F.asc(id_col))
     return layer_balanced(ranked, k, layer).select(id_col, layer, "fused", F.least(F.col("rank0") + 1, F.lit(k)).cast("long").alias("rank"))
+
+
+def retrieve_queries(docs: DataFrame, queries: list[str], k: int = 10, pool: int = 20, id_col: str = "doc_id", layer: str = "layer") -> DataFrame:
+    """(id, layer, fused, rank): hybrid retrieval by a query and at most one rewording, fused with two votes to one.
+
+    Each query gives its ``pool`` best rows, k at least; layers are balanced again after the fusion.
+    A rewording equal to the query leaves the retrieval by one query.
+    """
+    wanted = list(dict.fromkeys(q.strip() for q in queries))
+    if not 1 <= len(wanted) <= 2 or not all(wanted):
+        raise ValueError("one query and at most one rewording, none of them blank")
+    if len(wanted) == 1:
+        return hybrid_retrieve(docs, wanted[0], k, id_col, layer)
+    lists = [cut_lineage(hybrid_retrieve(docs, q, max(k, pool), id_col, layer).select(id_col, (F.col("rank") - 1).alias("rank0"))) for q in wanted]
+    fused = fuse([(r, RRF_K) for r in (lists[0], *lists)], id_col).select(id_col, F.round("fused", 9).alias("fused"))
+    ranked = global_rank(docs.select(id_col, layer).join(F.broadcast(fused), id_col), F.desc("fused"), F.asc(id_col))
+    return layer_balanced(ranked, k, layer).select(id_col, layer, "fused", F.least(F.col("rank0") + 1, F.lit(k)).cast("long").alias("rank"))

@@ -71,6 +71,28 @@ _FACT_SETS = r"""fs AS MATERIALIZED (SELECT fact_id, written, event_date, list_d
 fd AS (SELECT DISTINCT fact_id, s, day FROM (SELECT fact_id, s, written AS day FROM fs UNION ALL SELECT fact_id, s, event_date FROM fs) WHERE day IS NOT NULL AND len(s) > 0)"""
 
 
+def _hybrid(query: str, p: str, k: int) -> str:
+    """CTEs, their names begun with p, the last of them {p}top: doc_id and r of the k rows of hybrid retrieval."""
+    s = re.sub(r"[^\w]", "", query)
+    grams = [s[i : i + 2] for i in range(len(s) - 1)]
+    return f"""{_bm25(query, p + 'b')},
+{p}qc AS (SELECT token, count(*) AS qf FROM (SELECT unnest({_list(grams)}) AS token) GROUP BY token),
+{p}c AS MATERIALIZED (SELECT doc_id, round(sum(tf * qf) / (max(norm) * (SELECT sqrt(sum(qf * qf)) FROM {p}qc)), 6) AS cosine FROM pc JOIN {p}qc USING (token) JOIN norms USING (doc_id) GROUP BY doc_id),
+{p}lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM {p}b WHERE admitted),
+{p}vec AS (SELECT doc_id, row_number() OVER (ORDER BY cosine DESC, doc_id) AS r FROM {p}c WHERE doc_id IN (SELECT doc_id FROM {p}lex)),
+{p}seeds AS MATERIALIZED (SELECT doc_id, min(pos) AS pos FROM (SELECT doc_id, r - 1 AS pos FROM {p}lex WHERE r <= 3 UNION ALL SELECT doc_id, r + 2 FROM {p}vec WHERE r <= 3) GROUP BY doc_id),
+{p}e AS (SELECT s.doc_id AS src, s.pos, b.doc_id AS dst, round(sum(a.idf), 6) AS strength FROM {p}seeds s JOIN dp a USING (doc_id) JOIN dp b USING (token) WHERE b.doc_id <> s.doc_id GROUP BY ALL),
+{p}nb AS (SELECT pos, dst, row_number() OVER (PARTITION BY src ORDER BY strength DESC, dst) AS rank FROM {p}e),
+{p}walk AS (SELECT doc_id, pos AS major, 0 AS minor FROM {p}seeds UNION ALL SELECT dst, 100, pos * 10 + rank FROM {p}nb WHERE rank <= 5),
+{p}graph AS (SELECT doc_id, row_number() OVER (ORDER BY min(major * 1000 + minor)) AS r FROM {p}walk GROUP BY doc_id),
+{p}fused AS (SELECT doc_id, round(sum(part), 9) AS fused FROM (
+  SELECT doc_id, 1.0 / (60 + r) AS part FROM {p}lex UNION ALL SELECT doc_id, 1.0 / (60 + r) FROM {p}vec
+  UNION ALL SELECT doc_id, 1.0 / (5 + r) FROM {p}graph WHERE EXISTS (SELECT 1 FROM {p}graph WHERE doc_id NOT IN (SELECT doc_id FROM {p}lex))) GROUP BY doc_id),
+{p}r AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY fused DESC, doc_id) AS r, layer FROM {p}fused JOIN toks USING (doc_id)),
+{p}h AS (SELECT min(r) AS r FROM (SELECT min(r) AS r FROM {p}r GROUP BY layer) WHERE r > {k}),
+{p}top AS MATERIALIZED (SELECT doc_id, least(r, {k}) AS r FROM {p}r WHERE r < {k} OR r = coalesce((SELECT r FROM {p}h), {k}))"""
+
+
 def _contains(term: str) -> str:
     if term.isascii():
         return f"regexp_matches(coalesce(text, ''), '(?i)(^|[^A-Za-z0-9]){re.escape(term).replace(chr(92) + ' ', ' ')}([^A-Za-z0-9]|$)')"
@@ -138,6 +160,14 @@ def sql() -> dict[str, str]:
               SELECT doc_id, 2 AS votes, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b WHERE admitted
               UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) FROM v WHERE admitted) WHERE r <= 20 GROUP BY doc_id)
             SELECT doc_id, fused, row_number() OVER (ORDER BY fused DESC, doc_id) AS rank FROM fused ORDER BY fused DESC, doc_id LIMIT 10""",
+        "two_query_retrieve": f"""WITH {_TOKS}, {_DIST.format(cap=_CAP64)},
+            pc AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(tc) AS token FROM toks) GROUP BY ALL),
+            norms AS MATERIALIZED (SELECT doc_id, sqrt(sum(tf * tf)) AS norm FROM pc GROUP BY doc_id),
+            {_hybrid(QUERY, 'q', 20)}, {_hybrid(VARIANT, 'v', 20)},
+            fused AS (SELECT doc_id, round(sum(votes * 1.0 / (60 + r)), 9) AS fused FROM (SELECT doc_id, 2 AS votes, r FROM qtop UNION ALL SELECT doc_id, 1, r FROM vtop) GROUP BY doc_id),
+            r AS (SELECT doc_id, layer, fused, row_number() OVER (ORDER BY fused DESC, doc_id) AS r FROM fused JOIN toks USING (doc_id)),
+            h AS (SELECT min(r) AS r FROM (SELECT min(r) AS r FROM r GROUP BY layer) WHERE r > 10)
+            SELECT doc_id, layer, fused, least(r, 10) AS rank FROM r WHERE r <= 9 OR r = coalesce((SELECT r FROM h), 10)""",
         "graph_edges": f"""WITH {_TOKS}, {_DIST.format(cap=_CAP64)},
             e AS (SELECT a.doc_id AS src, b.doc_id AS dst, round(sum(a.idf), 6) AS strength FROM dp a JOIN dp b USING (token) WHERE a.doc_id <> b.doc_id GROUP BY ALL)
             SELECT * FROM (SELECT src, dst, strength, row_number() OVER (PARTITION BY src ORDER BY strength DESC, dst) AS rank FROM e) WHERE rank <= 5""",

@@ -129,6 +129,11 @@ def two_query_fusion(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top(fused, 10, F.desc("fused"), F.asc("doc_id"))
 
 
+def two_query_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The whole retrieval by two queries; ``two_query_fusion`` fuses their lexical lists only."""
+    return ranking.retrieve_queries(_docs(spark, d), [QUERY, VARIANT])
+
+
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return ranking.graph_edges(_docs(spark, d))
 
@@ -202,6 +207,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         bigram_counts, doc_stats, token_df, word_df, chunk_fixed, chunk_heading, chunk_semantic, sentence_counts, record_ids, bm25_topk, bm25_han, lexical_admit, query_profile, bigram_cosine_topk, vector_topk,
-        rrf_two_route, layer_balanced_topk, two_query_fusion, graph_edges, hybrid_retrieve, rerank_ngram, same_claim_survivors, gate_spans, absent_probe_screen, gold1_screen, hotword_stats, leakage_scan, term_matches, clipped_texts,
+        rrf_two_route, layer_balanced_topk, two_query_fusion, two_query_retrieve, graph_edges, hybrid_retrieve, rerank_ngram, same_claim_survivors, gate_spans, absent_probe_screen, gold1_screen, hotword_stats, leakage_scan, term_matches, clipped_texts,
     )
 }

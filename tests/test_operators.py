@@ -41,6 +41,16 @@ def test_global_rank_and_balance(spark):
     assert ranking.layer_balanced(r, 5).count() == 5 and ranking.layer_balanced(r, 1).count() == 1
 
 
+def test_two_queries_bring_in_graph_rows_and_layers(spark):
+    data = [(i, f"alpha beta {i:03}" + "x" * i, "timeline") for i in range(30)] + [(90, "alpha zzqqzz", "timeline"), (91, "zzqqzz only", "index")] + [(100 + i, f"unrelated {i} words", "timeline") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, layer string")
+    got = {r["doc_id"]: r["rank"] for r in ranking.retrieve_queries(docs, ["alpha beta", "alpha zz"], 5).collect()}
+    assert 91 in got and sorted(got.values()) == [1, 2, 3, 4, 5]
+    assert rows(ranking.retrieve_queries(docs, ["alpha beta", " alpha beta "], 5)) == rows(ranking.hybrid_retrieve(docs, "alpha beta", 5))
+    with pytest.raises(ValueError):
+        ranking.retrieve_queries(docs, ["a", "b", "c"])
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     rnd = random.Random(3)
     data = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(300, None), (301, [0.0] * 8)]
