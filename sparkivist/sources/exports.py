@@ -24,8 +24,8 @@ ENTRY_SCHEMA = T.StructType(
 )
 MESSAGE_SCHEMA = "id string, ts string, role string, text string"
 
-_HEAD = re.compile(r"^(\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}(?::\d{2})?)\s+(\S.*)$")
-_SAID = re.compile(r"^([^\s：:][^：:\n]{0,30})：(.*)$")
+_HEAD = re.compile(r"^\s*(\d{4}[-./]\d{1,2}[-./]\d{1,2}\s+\d{1,2}:\d{2}(?::\d{2})?)\s*(.*)$")
+_SAID = re.compile(r"^([^：]*)：(.*)$|^([^:]*):(.*)$")  # the full-width colon goes first
 
 
 def _text_of(content: object) -> str:
@@ -72,7 +72,7 @@ def sender_entries(conv: dict) -> list[Entry]:
 
 
 def line_chat_entries(text: str) -> list[Entry]:
-    """Blocks under ``date time speaker`` lines, or lines of the form ``speaker：text``."""
+    """Blocks under ``date time speaker`` lines, the speaker optional, or lines of the form ``speaker：text`` with either colon."""
     out: list[Entry] = []
     head: tuple[str, str] | None = None
     held: list[str] = []
@@ -80,7 +80,7 @@ def line_chat_entries(text: str) -> list[Entry]:
     def close() -> None:
         body = "\n".join(held).strip()
         if head and body:
-            out.append((body, head[1].strip(), head[0], "line_chat"))
+            out.append((body, head[1].strip() or None, head[0], "line_chat"))
         held.clear()
 
     for line in text.splitlines():
@@ -90,7 +90,9 @@ def line_chat_entries(text: str) -> list[Entry]:
         elif head:
             held.append(line)
         elif m := _SAID.match(line):
-            out.append((m[2].strip(), m[1].strip(), None, "line_chat"))
+            speaker, said = (x.strip() for x in m.groups() if x is not None)
+            if speaker and said:
+                out.append((said, speaker, None, "line_chat"))
     close()
     return out
 

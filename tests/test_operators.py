@@ -173,6 +173,15 @@ def test_exports(spark, tmp_path):
     assert set(m) == {"a", "b"} and m["a"]["epoch"] == 1.7e9 and m["b"]["epoch"] == 1704067200.0
 
 
+def test_line_chat_forms():
+    from sparkivist.sources import exports
+
+    chat = "2026.07.15 21:03 Anna\nhi\n2026/7/15 21:04:05\nno name\n2026-07-15 21:05 Bo\nbye: now\n"
+    assert exports.line_chat_entries(chat) == [("hi", "Anna", "2026.07.15 21:03", "line_chat"), ("no name", None, "2026/7/15 21:04:05", "line_chat"), ("bye: now", "Bo", "2026-07-15 21:05", "line_chat")]
+    long = "A speaker with a name of more than thirty-one characters"
+    assert exports.line_chat_entries(f"Anna: hello\n{long}: at 9:30\nBo：x: y\nempty:\nplain\n") == [("hello", "Anna", None, "line_chat"), ("at 9:30", long, None, "line_chat"), ("x: y", "Bo", None, "line_chat")]
+
+
 def test_streams(spark, tmp_path):
     from sparkivist.streaming import flows
 
