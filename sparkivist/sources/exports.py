@@ -9,12 +9,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from datetime import date, datetime
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkivist.functions.chunkers import chunk_heading
 from sparkivist.operators.sessions import epoch_seconds
 
 Entry = tuple[str, str | None, str | None, str]  # text, speaker, timestamp as written, kind
@@ -97,13 +100,93 @@ def line_chat_entries(text: str) -> list[Entry]:
     return out
 
 
-def timeline_entries(text: str) -> list[Entry]:
-    """Sections of a Markdown timeline; the date of the first heading is theirs."""
-    m = re.search(r"(?m)^# .*?(\d{4}-\d{2}-\d{2})", text)
-    return [(s.strip(), None, m[1] if m else None, "timeline") for s in re.split(r"(?m)(?=^## )", text) if s.strip().startswith("## ")]
+_MARK = re.compile(r"<!--\s*写于\s*([0-9T:.+\-]+)\s*-->")
+_OWN_HEAD = re.compile(r"(?m)^#{1,6}\s*(20\d{2})-(\d{1,2})-(\d{1,2})\s*记\s*$")
+_NAME_DATE = re.compile(r"(20\d{2})[-._年]?(\d{1,2})[-._月]?(\d{1,2})")
+_FULL_DATE = re.compile(r"(20\d{2})[-._年](\d{1,2})[-._月](\d{1,2})")
+_YEAR_FIRST = re.compile(r"(20\d{2})/(\d{1,2})/(\d{1,2})")
+_YEAR_LAST = re.compile(r"(\d{1,2})/(\d{1,2})/(20\d{2})")
+_SHORT_DATE = re.compile(r"(?<![\d.])(\d{1,2})\s*[.月]\s*(\d{1,2})(?![\d.])")
+TITLE_PREFIX = 16
 
 
-def parse_export(name: str, raw: str) -> tuple[list[Entry], str | None]:
+def _iso(year: int | str, month: int | str, day: int | str) -> str | None:
+    try:
+        return date(int(year), int(month), int(day)).isoformat()
+    except ValueError:
+        return None
+
+
+def _head_lines(text: str) -> list[str]:
+    return [line for line in text.splitlines() if line.strip()][:3]
+
+
+def date_order_evidence(text: str) -> tuple[int, int]:
+    """How many of the first lines prove month before day, and day before month."""
+    mdy = dmy = 0
+    for line in _head_lines(text):
+        if not _YEAR_FIRST.search(line) and (m := _YEAR_LAST.search(line)):
+            mdy += int(m[2]) > 12
+            dmy += int(m[1]) > 12 >= int(m[2])
+    return mdy, dmy
+
+
+def date_order(mdy: int, dmy: int) -> str | None:
+    """The order that the evidence proves; none if there is no evidence or if it contradicts itself."""
+    return None if bool(mdy) == bool(dmy) else "mdy" if mdy else "dmy"
+
+
+def _slash_date(line: str, order: str | None) -> str | None:
+    if m := _YEAR_FIRST.search(line):
+        return _iso(*m.groups())
+    if not (m := _YEAR_LAST.search(line)):
+        return None
+    a, b = int(m[1]), int(m[2])
+    known = "mdy" if b > 12 else "dmy" if a > 12 else order
+    return _iso(m[3], a, b) if known == "mdy" else _iso(m[3], b, a) if known == "dmy" else None
+
+
+def chunk_date(name: str, text: str, year: int | None = None, order: str | None = None) -> tuple[str, str] | None:
+    """(day, stamp) of a chunk: a record's own mark or heading, the file name, the first lines, short dates in headings.
+
+    The stamp is the day, but for a mark it is the mark's instant. ``year`` completes short dates.
+    """
+    if m := _MARK.search(text):
+        try:
+            at = datetime.fromisoformat(m[1])
+        except ValueError:
+            at = None
+        if at and at.tzinfo:
+            return at.date().isoformat(), m[1]
+    for m in filter(None, (_OWN_HEAD.search(text), _NAME_DATE.search(name))):
+        if day := _iso(*m.groups()):
+            return day, day
+    for line in _head_lines(text):
+        m = _FULL_DATE.search(line)
+        near = m and (line.lstrip().startswith("#") or len(re.sub(r"[\s*_>#`\-]", "", line[: m.start()])) <= TITLE_PREFIX)
+        if day := (near and _iso(*m.groups())) or _slash_date(line, order):
+            return day, day
+    for line in text.splitlines() if year else ():
+        if line.lstrip().startswith("#"):
+            for m in _SHORT_DATE.finditer(line):
+                if day := _iso(year, *m.groups()):
+                    return day, day
+    return None
+
+
+def dated_chunks(name: str, text: str, year: int | None, order: str | None) -> tuple[tuple[str, str] | None, list[tuple[str, tuple[str, str] | None]]]:
+    """The date of the file, from its first lines, and its chunks with theirs; a chunk without one takes the file's."""
+    whole = chunk_date(name, "\n".join(_head_lines(text)), year, order)
+    return whole, [(c, chunk_date(name, c, year, order) or whole) for c in chunk_heading(text)]
+
+
+def timeline_entries(text: str, name: str = "", year: int | None = None) -> list[Entry]:
+    """Chunks of a Markdown timeline, the part before the first section included, each with its date."""
+    _, chunks = dated_chunks(name, text, year, date_order(*date_order_evidence(text)))
+    return [(c, None, at[1] if at else None, "timeline") for c, at in chunks]
+
+
+def parse_export(name: str, raw: str, year: int | None = None) -> tuple[list[Entry], str | None]:
     """Entries of a file and what is wrong with it, if anything."""
     if name.endswith(".json"):
         try:
@@ -126,19 +209,22 @@ def parse_export(name: str, raw: str) -> tuple[list[Entry], str | None]:
             else:
                 return [], "unknown structure"
         return out, None if out else "empty"
-    entries = timeline_entries(raw) if re.search(r"(?m)^## ", raw) else line_chat_entries(raw)
+    if name.lower().endswith((".md", ".markdown")):
+        entries = timeline_entries(raw, unquote(name), year)
+    else:
+        entries = line_chat_entries(raw) or (timeline_entries(raw, unquote(name), year) if re.search(r"(?m)^## ", raw) else [])
     return entries, None if entries else "empty" if not raw.strip() else "unknown structure"
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all .json, .md and .txt files under ``path``; a file without any has one row with its problem."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source"), "value", F.year("_metadata.file_modification_time").alias("year"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                entries, problem = parse_export(name, raw)
+            for name, raw, year in zip(*(c.to_pylist() for c in b.columns)):
+                entries, problem = parse_export(name, raw, year)
                 rows += [(name, e[3], i, e[0], e[1], e[2], None) for i, e in enumerate(entries)] or [(name, None, None, None, None, None, problem)]
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.string()) for i, c in enumerate(cols)], names=ENTRY_SCHEMA.names)
@@ -147,13 +233,38 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(source, layer, window_no, local_date, text) of the Markdown files; a folder named index holds the summaries."""
-    f = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.split("_metadata.file_path", "/").alias("p"), F.col("value").alias("text"))
-    name = F.element_at("p", -1)
-    number, day = F.regexp_extract(name, r"window_(\d+)", 1), F.regexp_extract(F.concat_ws("\n", name, F.substring("text", 1, 400)), r"(\d{4}-\d{2}-\d{2})", 1)
-    return f.select(
-        name.alias("source"), F.when(F.element_at("p", -2) == "index", "index").otherwise("timeline").alias("layer"), F.when(number != "", number.cast("long")).alias("window_no"), F.when(F.try_to_date(day).isNotNull(), day).alias("local_date"), "text"
+    """(source, layer, window_no, chunk_no, local_date, text): chunks of the Markdown files; a folder named index holds the summaries.
+
+    A first pass finds the order of slash dates in the whole corpus. A chunk without a date of its own
+    or of its file takes that of the first file with the same window that has one.
+    """
+    f = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), F.year("_metadata.file_modification_time").alias("year"), F.col("value").alias("text"))
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [date_order_evidence(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["mdy", "dmy"])
+
+    proof = f.select("text").mapInArrow(evidence, "mdy long, dmy long").agg(F.sum("mdy"), F.sum("dmy")).first()
+    order = date_order(proof[0] or 0, proof[1] or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for p, year, text in zip(*(c.to_pylist() for c in b.columns)):
+                whole, chunks = dated_chunks(unquote(p.rsplit("/", 1)[-1]), text, year, order)
+                day = whole[0] if whole else None
+                rows += [(p, day, n, at[0] if at else None, c) for n, (c, at) in enumerate(chunks)] or [(p, day, None, None, None)]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.string()) for i, c in enumerate(cols)], names=["path", "file_date", "chunk_no", "day", "text"])
+
+    parts = F.split("path", "/")
+    number = F.regexp_extract(F.element_at(parts, -1), r"window_(\d+)", 1)
+    chunks = f.mapInArrow(run, "path string, file_date string, chunk_no int, day string, text string").withColumns(
+        {"source": F.element_at(parts, -1), "layer": F.when(F.element_at(parts, -2) == "index", "index").otherwise("timeline"), "window_no": F.when(number != "", number.cast("long"))}
     )
+    siblings = chunks.where("window_no IS NOT NULL AND file_date IS NOT NULL").groupBy("window_no").agg(F.min_by("file_date", "path").alias("borrowed"))
+    return chunks.where("chunk_no IS NOT NULL").join(siblings, "window_no", "left").select("source", "layer", "window_no", "chunk_no", F.coalesce("day", "borrowed").alias("local_date"), "text")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:

@@ -182,6 +182,24 @@ def test_line_chat_forms():
     assert exports.line_chat_entries(f"Anna: hello\n{long}: at 9:30\nBo：x: y\nempty:\nplain\n") == [("hello", "Anna", None, "line_chat"), ("at 9:30", long, None, "line_chat"), ("x: y", "Bo", None, "line_chat")]
 
 
+def test_timelines_keep_and_date_every_part(spark, tmp_path):
+    from sparkivist.sources import exports
+
+    text = "# Log 2026-07-01\nbefore\n\n## 2026.07.03 one\na\n\n## two\n> 7/22/2026 12:54\nb\n\n## three\nc\n"
+    got = [(e[0].split("\n")[-1], e[2]) for e in exports.timeline_entries(text)]
+    assert got == [("before", "2026-07-01"), ("a", "2026-07-03"), ("b", "2026-07-22"), ("c", "2026-07-01")]
+    assert exports.timeline_entries("## 7.29 x\ny", year=2025)[0][2] == "2025-07-29"
+    assert exports.chunk_date("2026-01-02.md", "<!-- 写于 2026-01-03T00:10:00+08:00 -->\nx") == ("2026-01-03", "2026-01-03T00:10:00+08:00")
+    assert exports.chunk_date("a.md", "3/5/2026") is None and exports.chunk_date("a.md", "a paragraph that speaks of something on 2026-01-02") is None
+    assert exports.parse_export("notes.md", "only prose\n")[0] == [("only prose", None, None, "timeline")]
+    (tmp_path / "index").mkdir()
+    (tmp_path / "index" / "window_1.md").write_text("a summary")
+    (tmp_path / "window_1.md").write_text("> 3/5/2026 10:00\nhello\n\n## later\n> 3/9/2026\nyo")
+    (tmp_path / "window_2.md").write_text("> 7/22/2026 10:00\nproof of the order")
+    rows_ = {(r["layer"], r["window_no"], r["chunk_no"]): r["local_date"] for r in exports.read_corpus(spark, str(tmp_path)).collect()}
+    assert rows_ == {("index", 1, 0): "2026-03-05", ("timeline", 1, 0): "2026-03-05", ("timeline", 1, 1): "2026-03-09", ("timeline", 2, 0): "2026-07-22"}
+
+
 def test_streams(spark, tmp_path):
     from sparkivist.streaming import flows
 
