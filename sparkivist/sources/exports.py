@@ -186,46 +186,46 @@ def timeline_entries(text: str, name: str = "", year: int | None = None) -> list
     return [(c, None, at[1] if at else None, "timeline") for c, at in chunks]
 
 
-def parse_export(name: str, raw: str, year: int | None = None) -> tuple[list[Entry], str | None]:
-    """Entries of a file and what is wrong with it, if anything."""
+def parse_export(name: str, raw: str, year: int | None = None) -> tuple[list[Entry], list[str]]:
+    """Entries of a file and what is wrong with it, if anything; an odd item of a list leaves the others' entries."""
     if name.endswith(".json"):
         try:
             data = json.loads(raw)
         except ValueError:
-            return [], "not JSON"
+            return [], ["not JSON"]
         out: list[Entry] = []
-        for c in data if isinstance(data, list) else [data]:
-            if not isinstance(c, dict):
-                return [], "unknown structure"
-            if "mapping" in c:
+        problems: list[str] = []
+        for i, c in enumerate(data if isinstance(data, list) else [data]):
+            keys = c if isinstance(c, dict) else ()
+            if "mapping" in keys:
                 out += branch_entries(c)
-            elif "chat_messages" in c:
+            elif "chat_messages" in keys:
                 out += sender_entries(c)
-            elif "docs" in c:
+            elif "docs" in keys:
                 out += [(d["content"].strip(), None, d.get("created_at"), "project") for d in c["docs"] if (d.get("content") or "").strip()]
-            elif "conversations_memory" in c:
+            elif "conversations_memory" in keys:
                 if (c["conversations_memory"] or "").strip():
                     out.append((c["conversations_memory"].strip(), None, None, "memory"))
             else:
-                return [], "unknown structure"
-        return out, None if out else "empty"
+                problems.append(f"item {i}: unknown structure" if isinstance(data, list) else "unknown structure")
+        return out, problems if out or problems else ["empty"]
     if name.lower().endswith((".md", ".markdown")):
         entries = timeline_entries(raw, unquote(name), year)
     else:
         entries = line_chat_entries(raw) or (timeline_entries(raw, unquote(name), year) if re.search(r"(?m)^## ", raw) else [])
-    return entries, None if entries else "empty" if not raw.strip() else "unknown structure"
+    return entries, [] if entries else ["unknown structure" if raw.strip() else "empty"]
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all .json, .md and .txt files under ``path``; a file without any has one row with its problem."""
+    """Entries of all .json, .md and .txt files under ``path``, and a row for each problem; a file without any entry has one at least."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source"), "value", F.year("_metadata.file_modification_time").alias("year"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for name, raw, year in zip(*(c.to_pylist() for c in b.columns)):
-                entries, problem = parse_export(name, raw, year)
-                rows += [(name, e[3], i, e[0], e[1], e[2], None) for i, e in enumerate(entries)] or [(name, None, None, None, None, None, problem)]
+                entries, problems = parse_export(name, raw, year)
+                rows += [(name, e[3], i, e[0], e[1], e[2], None) for i, e in enumerate(entries)] + [(name, None, None, None, None, None, x) for x in problems]
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.string()) for i, c in enumerate(cols)], names=ENTRY_SCHEMA.names)
 

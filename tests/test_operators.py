@@ -200,6 +200,18 @@ def test_timelines_keep_and_date_every_part(spark, tmp_path):
     assert rows_ == {("index", 1, 0): "2026-03-05", ("timeline", 1, 0): "2026-03-05", ("timeline", 1, 1): "2026-03-09", ("timeline", 2, 0): "2026-07-22"}
 
 
+def test_odd_items_leave_the_rest_of_an_export(spark, tmp_path):
+    import json
+
+    from sparkivist.sources import exports
+
+    said = [{"chat_messages": [{"sender": "human", "text": t}]} for t in ("a", "b", "c")]
+    (tmp_path / "e.json").write_text(json.dumps([said[0], 7, said[1], {"x": 1}, said[2]]))
+    got = exports.read_exports(spark, str(tmp_path)).collect()
+    assert [r["text"] for r in got if not r["problem"]] == ["a", "b", "c"]
+    assert [r["problem"] for r in got if r["problem"]] == ["item 1: unknown structure", "item 3: unknown structure"]
+
+
 def test_streams(spark, tmp_path):
     from sparkivist.streaming import flows
 
