@@ -14,6 +14,7 @@ Stages, all of them row-local or joins on bounded tables:
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
@@ -204,6 +205,27 @@ def date_orders(parsed: DataFrame, source: str = "source_id") -> DataFrame:
     )
 
 
+def _file_changes(name: str) -> list[int]:
+    """Seconds since 1970 of the changes that the zone's TZif file lists; none if there is no such file."""
+    import zoneinfo
+    from importlib import resources
+    from pathlib import Path
+
+    at = next((p for d in zoneinfo.TZPATH if (p := Path(d, name)).is_file()), None)
+    try:
+        raw = (at or resources.files("tzdata.zoneinfo").joinpath(name)).read_bytes()
+    except (OSError, ImportError):
+        return []
+    if raw[:4] != b"TZif":
+        return []
+    begin, width = 0, 4
+    counts = struct.unpack(">6l", raw[20:44])  # of flags (2), leap seconds, changes, types, characters
+    if raw[4] >= ord("2"):
+        begin, width = 44 + counts[3] * 5 + counts[4] * 6 + counts[5] + counts[2] * 8 + counts[1] + counts[0], 8
+        counts = struct.unpack(">6l", raw[begin + 20 : begin + 44])
+    return list(struct.unpack(f">{counts[3]}{'q' if width == 8 else 'l'}", raw[begin + 44 : begin + 44 + counts[3] * width]))
+
+
 def _transitions(zone_names: list[str]) -> Iterator[tuple]:
     """(zone, wall_from, wall_to, offset, gap) per interval of constant offset, in microseconds.
 
@@ -220,17 +242,16 @@ def _transitions(zone_names: list[str]) -> Iterator[tuple]:
 
         start = int(datetime(FIRST_YEAR, 1, 1, tzinfo=utc).timestamp())
         end = int(datetime(LAST_YEAR + 1, 1, 1, tzinfo=utc).timestamp())
-        # A step of four weeks finds every pair of changes but those that undo each other within it.
+        # Between listed changes the offset is constant; the rule that goes on after them is followed by days.
+        listed = sorted({s for s in _file_changes(name) if start < s < end})
         at, off, changes = start, offset(start), []
-        while at < end:
-            nxt = min(at + 28 * 86400, end)
+        for nxt in (*listed, *range((listed or [start])[-1] + 86400, end, 86400), end):
             if offset(nxt) != off:
                 lo, hi = at, nxt
                 while hi - lo > 1:
                     mid = (lo + hi) // 2
                     lo, hi = (mid, hi) if offset(mid) == off else (lo, mid)
                 changes.append((hi, off, off := offset(hi)))
-                nxt = hi
             at = nxt
         bounds = [start - 86400, *(c[0] for c in changes), end + 86400]
         offs = [changes[0][1] if changes else off, *(c[2] for c in changes)]

@@ -97,3 +97,10 @@ def test_entries(spark):
         1: us(2025, 3, 30, 1, 30) // 1000, 2: us(2025, 10, 26, 0, 30) // 1000, 4: us(2025, 10, 26, 2, 30) // 1000, 6: us(2024, 3, 4, 15) // 1000, 7: us(2024, 12, 25, 15) // 1000, 9: us(2024, 4, 4, 8) // 1000,
     }
     assert ts.normalise_timestamps(e.limit(0), src.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("zone, at", [("America/Fortaleza", (2000, 10, 15, 12)), ("America/Noronha", (2000, 10, 10, 12)), ("Europe/Vienna", (1945, 4, 7, 12))])
+def test_changes_that_undo_each_other_within_weeks(zone, at):
+    wall = us(*at)
+    want = datetime(*at, tzinfo=zoneinfo.ZoneInfo(zone)).utcoffset()
+    assert [timedelta(microseconds=o) for _, lo, hi, o, _ in ts._transitions([zone]) if lo <= wall < hi] == [want]
