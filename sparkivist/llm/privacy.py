@@ -159,7 +159,7 @@ def _score_id(m: re.Match) -> float:
         return 0.8 if _real_date(digits[6:14]) and mod_11_2(digits) else 0.0
     if kind == "ssn":
         return 0.55 if digits[3:5] != "00" and digits[5:] != "0000" and digits[:3] not in ("000", "666") else 0.0
-    return 0.6 if mod_97(digits) and not luhn(digits) else 0.0
+    return 0.6 if mod_97(digits) else 0.0
 
 
 def _in_context(t: str, start: int, end: int, kind: str, score: float) -> tuple[float, int, int, str]:
