@@ -5,7 +5,7 @@ pseudo-random permutation of all tokens. Two texts are candidates if they share
 (the first of each) under all ``ORDERS_PER_FILTER`` orders of at least one of ``FILTERS`` groups of
 orders; the intersection inside a group is taken in the join key itself. For similarity s a group
 passes with probability s^6, so that of pairs at 0.75 about two in ten thousand escape all
-groups, while texts that share a tenth of their tokens hardly ever meet. Candidates must
+groups, and of pairs at the threshold of 0.7 four in a thousand, which nothing finds again, while texts that share a tenth of their tokens hardly ever meet. Candidates must
 then share enough prefix tokens under 32 further orders, and what is left is verified exactly on
 the whole token sets.
 
