@@ -14,11 +14,12 @@ from __future__ import annotations
 import bisect
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkivist.llm.tokenizer import count_tokens
-from sparkivist.plans.session import cut_lineage, parallelism, spread, table
+from sparkivist.plans.session import cut_lineage, parallelism, table
 
 CAPACITY = 2048
 
@@ -72,19 +73,11 @@ def _ranked(items: DataFrame, parts: int) -> DataFrame:
     capacity times parts, give where each begins.
     """
     split = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts)).cast("int"))
-    split.createOrReplaceTempView("_sparkivist_items")
-    spark = items.sparkSession
-    sizes = spark.sql("SELECT n_tokens, part, count(*) AS n FROM _sparkivist_items GROUP BY n_tokens, part")
-    sizes.createOrReplaceTempView("_sparkivist_sizes")
-    return spark.sql(
-        """
-        WITH begins AS (
-          SELECT n_tokens AS b_tokens, part AS b_part, sum(n) OVER (PARTITION BY n_tokens ORDER BY part) - n AS begin FROM _sparkivist_sizes),
-        local AS (
-          SELECT *, row_number() OVER (PARTITION BY n_tokens, part ORDER BY doc_id, piece_no) - 1 AS no FROM _sparkivist_items)
-        SELECT doc_id, piece_no, n_tokens, begin + no AS rank
-        FROM local JOIN begins ON n_tokens = b_tokens AND part = b_part"""
-    )
+    sizes = split.groupBy(F.col("n_tokens").alias("b_tokens"), F.col("part").alias("b_part")).agg(F.count("*").alias("n"))
+    begins = sizes.withColumn("begin", F.sum("n").over(W.partitionBy("b_tokens").orderBy("b_part")) - F.col("n"))
+    local = split.withColumn("no", F.row_number().over(W.partitionBy("n_tokens", "part").orderBy("doc_id", "piece_no")) - 1)
+    joined = local.join(begins, (F.col("n_tokens") == F.col("b_tokens")) & (F.col("part") == F.col("b_part")))
+    return joined.select("doc_id", "piece_no", "n_tokens", (F.col("begin") + F.col("no")).alias("rank"))
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, fill: bool = True) -> DataFrame:
@@ -117,7 +110,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, fill: bool = True) -> DataF
 
 def windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p7_windows: the training window of each document, or of each piece of a longer one."""
-    sizes = cut_lineage(count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))  # read by the histogram and the placing
+    sizes = cut_lineage(count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))  # read by the histogram and the placing
     return pack(sizes)
 
 

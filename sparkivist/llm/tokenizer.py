@@ -3,10 +3,13 @@
 A byte pair that occurs inside no vocabulary token can never be merged across, so a text may be
 cut between its two bytes: merges never reach over the cut and both sides encode as they would in
 the whole. ``CertainCuts`` marks such places, leaving out those where the cut would change how the
-pre-splitting pattern reads the text (white space before it, an apostrophe on either side). The
-fragments are encoded one by one and their ids concatenated.
+pre-splitting pattern reads the text (white space before it, an apostrophe on either side). Every
+text, however short, is cut at all of them. The fragments are mostly words, which come again and
+again; each is encoded by itself, once per worker as long as it is remembered, and the ids are
+concatenated.
 
-The stage is a scan and an Arrow map: no shuffle, no state, so it scales with its input.
+The stage is a scan and an Arrow map: no shuffle, no state that the result depends on, so it scales
+with its input. The vocabulary file goes to the executors with the job.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkivist.plans.session import spread, table
+from sparkivist.plans.session import table
 
 #: Folder of the vocabulary files; callers pass another one as a parameter.
 VOCABULARY_DIR = os.environ.get("SPARKIVIST_TOKENIZERS", "/opt/tokenizers")
-#: Fragments are at least so many bytes, since every call into the encoder costs a little.
-LEAST_BYTES = 2048
+#: A worker remembers the ids of so many fragments of at most so many bytes, then begins anew.
+MEMO_FRAGMENTS, MEMO_BYTES = 1 << 18, 48
 # Fixed value: the pattern that splits text before merging, as the vocabulary's description states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -48,21 +52,29 @@ class CertainCuts:
         free &= ~np.isin(high, [9, 10, 11, 12, 13, 32])
         self.free = free
 
-    def of(self, data: bytes, least: int) -> list[int]:
-        """Byte offsets of certain cuts of UTF-8 ``data``, ascending, at most one in ``least`` bytes.
-
-        Pairs at even offsets are looked at, which leaves plenty.
-        """
-        pairs = np.frombuffer(data, dtype=">u2", count=len(data) // 2)
-        at = np.flatnonzero(self.free[pairs]) * 2 + 1
-        if not len(at):
-            return []
-        # No cut after white space beyond ASCII either; the masks take in a few characters that are none.
+    def of(self, data: bytes) -> np.ndarray:
+        """Byte offsets of all certain cuts of UTF-8 ``data``, ascending."""
         b = np.frombuffer(data, dtype=np.uint8)
-        at = at[np.flatnonzero(np.diff(at // least, prepend=-1))]
+        at = np.flatnonzero(self.free[(b[:-1].astype(np.uint16) << 8) | b[1:]]) + 1
+        # No cut after white space beyond ASCII either; the masks take in a few characters that are none.
         two, three = b[np.maximum(at - 2, 0)], b[np.maximum(at - 3, 0)]
         wide = ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80)) | (three == 0xE1) | (two == 0xC2)
-        return at[~wide].tolist()
+        return at[~wide]
+
+
+class _Memo(dict):
+    """Ids by fragment, bounded in number and in the size of its keys."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: bytes) -> list[int]:
+        ids = self.encode(piece.decode("utf-8", "surrogatepass"))
+        if len(piece) <= MEMO_BYTES:
+            if len(self) >= MEMO_FRAGMENTS:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class FragmentEncoder:
@@ -75,35 +87,45 @@ class FragmentEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cuts = CertainCuts(list(ranks))
+        self.memo = _Memo(self.encode)
 
-    def fragments(self, text: str, least: int = LEAST_BYTES) -> list[str]:
-        """Pieces between certain cuts; together they are the text."""
+    def fragments(self, text: str) -> list[bytes]:
+        """UTF-8 pieces between certain cuts; together they are the text."""
         data = text.encode("utf-8", "surrogatepass")
-        if len(data) <= 2 * least:
-            return [text]
-        out, start = [], 0
-        for at in self.cuts.of(data, least):
-            if at - start >= least // 2:
-                out.append(data[start:at].decode("utf-8", "surrogatepass"))
-                start = at
-        out.append(data[start:].decode("utf-8", "surrogatepass"))
-        return out
+        ends = self.cuts.of(data).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], [*ends, len(data)])]
 
     def ids(self, text: str | None) -> list[int]:
         """Token ids without special tokens; null and empty texts have none."""
         if not text:
             return []
-        encode, out = self.encode, []
+        memo, out = self.memo, []
         for piece in self.fragments(text):
-            out += encode(piece)
+            out += memo[piece]
         return out
 
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        memo = self.memo
+        return sum(len(memo[piece]) for piece in self.fragments(text))
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> FragmentEncoder:
     return FragmentEncoder(path)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the file with the job; its name, by which ``located`` finds it on an executor."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def located(name: str) -> FragmentEncoder:
+    return encoder(SparkFiles.get(name))
+
+
 def vocabulary(name: str, folder: str = VOCABULARY_DIR) -> str:
     return os.path.join(folder, f"{name}.tiktoken")
 
@@ -114,10 +136,10 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts give an empty list. Repeated rows come out as often as they come in, rows
     with a null id keep it, other columns are not read. An empty table gives no rows.
     """
-    path = vocabulary(name, folder)
+    file = shipped(docs.sparkSession, vocabulary(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = located(file)
         for b in batches:
             for at in range(0, b.num_rows, 500):  # bounds the ids held at once
                 part = b.slice(at, 500)
@@ -133,12 +155,12 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = VOCABULARY_DIR) -> DataFrame:
     """(id, n_tokens int): the size of each text in tokens; 0 for null and empty texts."""
-    path = vocabulary(name, folder)
+    file = shipped(docs.sparkSession, vocabulary(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = located(file)
         for b in batches:
-            n = np.fromiter((sum(len(enc.encode(p)) for p in enc.fragments(t)) if t else 0 for t in b.column(1).to_pylist()), dtype=np.int32, count=b.num_rows)
+            n = np.fromiter(map(enc.count, b.column(1).to_pylist()), dtype=np.int32, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[id_col, "n_tokens"])
 
     picked = docs.select(id_col, text_col)
@@ -147,4 +169,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6_ids: every document's ids by byte_bpe_50k."""
-    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))

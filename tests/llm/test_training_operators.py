@@ -199,8 +199,22 @@ def test_ids_equal_the_library_on_any_text():
         t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 900)))
         want = whole.encode(t, add_special_tokens=False).ids
         assert enc.ids(t) == want
-        pieces = enc.fragments(t, 8)
+        pieces = [p.decode() for p in enc.fragments(t)]
         assert "".join(pieces) == t and [i for p in pieces for i in enc.encode(p)] == want
+        assert enc.count(t) == len(want)
+
+
+@needs_vocabulary
+def test_short_texts_are_cut_at_every_certain_place():
+    enc = tokenizer.encoder(tokenizer.vocabulary("byte_bpe_50k"))
+    assert enc.fragments("We walked to the old market.") == [b"We", b" walked", b" to", b" the", b" old", b" market", b"."]
+    assert len(enc.fragments("word " * 1000)) >= 1000
+    for text in ("a", "we're here", "x\u3000y", "tab\there"):
+        data = text.encode()
+        inside = {i for i in range(1, len(data)) if enc.cuts.free[data[i - 1] << 8 | data[i]]}
+        assert {sum(map(len, enc.fragments(text)[:k])) for k in range(1, len(enc.fragments(text)))} <= inside
+    enc.memo.clear()
+    assert enc.ids("one two one two") == enc.encode("one two one two") and len(enc.memo) == 3
 
 
 @needs_vocabulary
@@ -261,6 +275,17 @@ def test_spam_rows(spark):
     assert spam.find_spam(df.where("doc_id > 1004 AND doc_id < 1008")).count() == 0
 
 
+def test_no_spam_escapes_by_its_lines():
+    lines = [f"cheap lamp {i} | best kettle | discount map" for i in range(40)]
+    plain = spam.classes_of("\n".join(lines))
+    for form in ("\n".join("    " + x for x in lines), "\n".join("\t" + x for x in lines), "```\n" + "\n".join(lines) + "\n```", "\n".join("## " + x for x in lines)):
+        assert len(spam.classes_of(form)) >= 0.9 * len(plain)
+    links = "```\n" + "\n".join(f"https://a.example/{i}" for i in range(30)) + "\n```"
+    assert spam.classes_of(links).count("U") == 30
+    code = "```python\ndef compass(x):\n    return x[4:]  # the list\n```\n    kettle_0 = 787507\n"
+    assert spam.classes_of(code) == "" and spam.classes_of("# One title\n" + PROSE) == spam.classes_of(PROSE)
+
+
 # ------------------------------------------------------------------ queries
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
