@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkivist.plans.session import cut_lineage, spread, table
+from sparkivist.plans.session import cut_lineage, table
 
 # Frequent function words of English and German by kind, and Han characters of that use.
 _WORDS = {
@@ -40,7 +40,14 @@ _TOKEN = re.compile(
     r"(?P<n>\n)|(?P<u>(?:https?://|www\.)[^\s<>\"'）)\]]+)|(?P<m><[^<>\n]{1,200}>)|(?P<h>[#＃][^\W\d_][\w-]*)|(?P<k>[A-Za-z]+-\d{2,}\b)|(?P<j>[一-鿿]+)|(?P<w>[^\W\d_一-鿿]+(?:['’][^\W\d_]+)?)|(?P<d>\d+(?:[.,:]\d+)*%?)"
     r"|(?P<e>[.!?。！？…])|(?P<c>[,，、；;：:])|(?P<q>[\"“”‘’'「」『』()（）])|(?P<b>[\[\]])|(?P<s>[^\w\s])"
 )
-_FENCE = re.compile(r"^#{1,6} [^\n]*$|```.*?(?:```|\Z)|^(?: {4}|\t)[^\n]*$", re.S | re.M)
+_HEADING = re.compile(r"#{1,6} \S")
+_INDENTED = re.compile(r"(?: {4}|\t)")
+_SPECIAL = re.compile(r"^(?:#{1,6} |```| {4}|\t)", re.M)
+# A statement, an assignment, a call, or a line of brackets only.
+_CODE_LINE = re.compile(
+    r"\s*(?:(?:def|class|return|import|from|for|while|if|elif|else|try|with|function|var|let|const|public|private|static|int|void|print)\b.*[\[({:;=]"
+    r"|[\w.\[\]'\"]+\s*[-+*/|]?=\s*\S|[\w.]+\(.*\)\s*[;:{]?\s*(?:(?:#|//).*)?$|[})\]]+[;,]?\s*$|[^|,，、#]*[;{]\s*$)"
+)
 _RECENT = 10  # content words or characters within which a use counts as a repetition
 STRETCH = 48  # tokens of a stretch that is judged at once
 LEAST = 12  # shorter lines are judged together with the next
@@ -50,8 +57,44 @@ _SIGN = {"n": "\n", "u": "U", "m": "M", "h": "H", "k": "K", "d": "9", "e": ".",
 _ORDER = ("n", "u", "m", "h", "k", "j", "w", "d", "e", "c", "q", "b", "s")  # groups of _TOKEN by number
 
 
+def judged_lines(text: str) -> str:
+    """The text without lines that are neither prose nor lists.
+
+    Those are statements of code, in a fence or indented, and headings with at least as much text
+    under them as they have themselves. Keywords and links do not escape by being indented, fenced
+    or written as headings.
+    """
+    if not _SPECIAL.search(text):
+        return text
+    out: list[str] = []
+    fenced, head, under = False, None, 0
+
+    def close() -> None:
+        nonlocal head
+        if head is not None and under >= len(out[head]):
+            out[head] = ""
+        head = None
+
+    for line in text.split("\n"):
+        if line.startswith("```"):
+            fenced = not fenced
+            continue
+        if not fenced and _HEADING.match(line):
+            close()
+            head, under = len(out), 0
+            out.append(line.lstrip("# "))
+            continue
+        if (fenced or _INDENTED.match(line)) and "://" not in line and _CODE_LINE.match(line):
+            under += len(line)
+            continue
+        under += len(line.strip())
+        out.append(line)
+    close()
+    return "\n".join(out)
+
+
 def classes_of(text: str) -> str:
-    """One character per token; headings and code blocks are left out, being neither prose nor lists.
+    """One character per token of the lines that are judged.
 
     D N P V C and d n p v c: function words of German and English; w W X: other words by case,
     R: one of the last few again. z: function characters, f g i: content in Han by its length, J:
@@ -63,7 +106,7 @@ def classes_of(text: str) -> str:
     last_word: dict[str, int] = {}
     last_char: dict[str, int] = {}
     n_words = n_chars = 0
-    for m in _TOKEN.finditer(_FENCE.sub("\n", text)):
+    for m in _TOKEN.finditer(judged_lines(text)):
         group = m.lastindex
         if group == 7:
             t = m[0]
@@ -265,4 +308,4 @@ def find_spam(docs: DataFrame, share: float = 0.5) -> DataFrame:
 
 def found_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p8_found: doc_id of the pages that consist mainly of keywords, links or tags."""
-    return find_spam(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id").distinct()
+    return find_spam(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id").distinct()
