@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkivist.llm import chunking, conversations, neardup, packing, privacy, spam, tokenizer
 
 
+_SPEECH = r"""
+            WITH judged AS (
+              SELECT conv_key, key,
+                CASE WHEN epoch IS NULL OR isnan(epoch) OR epoch <= 0 OR epoch >= 1e18 THEN NULL WHEN epoch > 1e11 THEN CAST(round(epoch) AS BIGINT) ELSE CAST(round(epoch * 1000) AS BIGINT) END AS ms,
+                lower(regexp_replace(coalesce(role, ''), '^[\s\pZ\x{200b}\x{feff}]+|[\s\pZ\x{200b}\x{feff}]+$', '', 'g')) AS name,
+                regexp_replace(regexp_replace(coalesce(text, ''), '<system-reminder(\s[^>]*)?>.*?</system-reminder\s*>', '', 'gs'), '<passive_recall_context(\s[^>]*)?>.*?</passive_recall_context\s*>', '', 'gs') AS said
+              FROM archive_msgs WHERE conv_key IS NOT NULL AND key IS NOT NULL),
+            merged AS (
+              SELECT conv_key, key, min(ms) AS ms,
+                min(CASE WHEN name IN ('user', 'human') THEN 'user' WHEN name IN ('assistant', 'ai', 'model', 'bot') THEN 'assistant' WHEN name <> '' THEN 'other' END) AS role,
+                bool_or(regexp_matches(said, '[\pL\pN]')) AS words,
+                bool_or(regexp_matches(said, '^[\s\pZ\x{200b}\x{feff}]*<(task-notification|(command|local-command|bash)-[\w-]+)')) AS host
+              FROM judged GROUP BY conv_key, key),
+            speech AS (
+              SELECT conv_key, key, ms, role FROM merged
+              WHERE words AND (role = 'assistant' OR (coalesce(role, 'user') = 'user' AND NOT host)))"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": chunking.found_query,
@@ -19,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_redacted": privacy.redacted_query,
         "p5_found": conversations.found_query,
         "p5_turns": conversations.transcript_query,
+        "p5_status": conversations.status_query,
         "p6_ids": tokenizer.ids_query,
         "p7_windows": packing.windows_query,
         "p7_fill": packing.fill_query,
@@ -39,26 +58,14 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT entry_id, count(*) AS n FROM t GROUP BY entry_id),
             c AS (SELECT a.entry_id AS entry_a, b.entry_id AS entry_b, count(*) AS k FROM t a JOIN t b USING (g) WHERE a.entry_id < b.entry_id GROUP BY ALL)
             SELECT entry_a, entry_b FROM c JOIN n x ON entry_a = x.entry_id JOIN n y ON entry_b = y.entry_id WHERE k >= 0.7 * (x.n + y.n - k)""",
-        "p5_found": r"""
-            WITH judged AS (
-              SELECT conv_key, key,
-                CASE WHEN epoch IS NULL OR isnan(epoch) OR epoch <= 0 OR epoch >= 1e18 THEN NULL WHEN epoch > 1e11 THEN CAST(round(epoch) AS BIGINT) ELSE CAST(round(epoch * 1000) AS BIGINT) END AS ms,
-                lower(regexp_replace(coalesce(role, ''), '^[\s\pZ\x{200b}\x{feff}]+|[\s\pZ\x{200b}\x{feff}]+$', '', 'g')) AS name,
-                regexp_replace(regexp_replace(coalesce(text, ''), '<system-reminder(\s[^>]*)?>.*?</system-reminder\s*>', '', 'gs'), '<passive_recall_context(\s[^>]*)?>.*?</passive_recall_context\s*>', '', 'gs') AS said
-              FROM archive_msgs WHERE conv_key IS NOT NULL AND key IS NOT NULL),
-            merged AS (
-              SELECT conv_key, key, min(ms) AS ms,
-                min(CASE WHEN name IN ('user', 'human') THEN 'user' WHEN name IN ('assistant', 'ai', 'model', 'bot') THEN 'assistant' WHEN name <> '' THEN 'other' END) AS role,
-                bool_or(regexp_matches(said, '[\pL\pN]')) AS words,
-                bool_or(regexp_matches(said, '^[\s\pZ\x{200b}\x{feff}]*<(task-notification|(command|local-command|bash)-[\w-]+)')) AS host
-              FROM judged GROUP BY conv_key, key),
-            speech AS (
-              SELECT conv_key, key, ms, role FROM merged
-              WHERE words AND (role = 'assistant' OR (coalesce(role, 'user') = 'user' AND NOT host))),
+        "p5_found": _SPEECH + r""",
             usable AS (
               SELECT conv_key FROM speech GROUP BY conv_key
               HAVING bool_and(role IS NOT NULL AND ms IS NOT NULL)
                 AND arg_min(role, {'ms': ms, 'key': key}) = 'user' AND arg_max(role, {'ms': ms, 'key': key}) = 'assistant')
             SELECT conv_key, row_number() OVER (PARTITION BY conv_key ORDER BY ms, key) AS turn_no, key
             FROM speech WHERE conv_key IN (SELECT conv_key FROM usable)""",
+        "p5_status": _SPEECH + r"""
+            SELECT conv_key, CASE WHEN bool_or(role IS NULL OR ms IS NULL) OR arg_min(role, {'ms': ms, 'key': key}) <> 'user' THEN 'orphan'
+              WHEN arg_max(role, {'ms': ms, 'key': key}) <> 'assistant' THEN 'unanswered' ELSE 'ok' END AS status FROM speech GROUP BY conv_key""",
     }
