@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkivist.llm import chunking, conversations, neardup, packing, privacy, spam, tokenizer
 
 
+# RE2 has no full Unicode white space class; the characters are listed.
+_BLANKS = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LONG = rf"length(regexp_replace(text, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')) > 800"
 _SPEECH = r"""
             WITH judged AS (
               SELECT conv_key, key,
@@ -31,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": chunking.found_query,
         "p1_pieces": chunking.pieces_query,
+        "p1_rebuilt": chunking.rebuilt_query,
         "p3_found": neardup.found_query,
         "p3_groups": neardup.groups_query,
         "p4_found": privacy.found_query,
@@ -47,10 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        # RE2 has no full Unicode white space class; the characters are listed.
-        "p1_found": r"""
-            SELECT DISTINCT entry_id FROM memory_entries
-            WHERE length(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) > 800""",
+        "p1_found": f"SELECT DISTINCT entry_id FROM memory_entries WHERE {_LONG}",
+        "p1_rebuilt": f"SELECT DISTINCT entry_id, md5(text) AS hash, true AS within_limit, true AS cut FROM memory_entries WHERE {_LONG}",
         # All pairs of texts that share a run of five; quick enough on the tables of the comparison.
         "p3_found": r"""
             WITH e AS (SELECT DISTINCT entry_id, regexp_replace(lower(text), '[^\pL\pN]', '', 'g') AS s FROM memory_entries WHERE text IS NOT NULL),

@@ -118,7 +118,8 @@ def split_oversized(entries: DataFrame, limit: int = LIMIT, overlap: int = OVERL
     it stands; all but the first repeat the last ``overlap`` characters of the one before. Null,
     empty and short texts give no rows, nor does an empty table. Rows that repeat an entry_id and
     text come out once. Other columns are not read. The work is one Arrow map on the rows that the
-    scan's length filter keeps, and the removal of repeats on the small columns.
+    scan's length filter keeps. Without texts repeats go afterwards, from small columns; with texts
+    before, by entry_id and a 64-bit hash, so that texts are shuffled once and no piece is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,21 @@ def split_oversized(entries: DataFrame, limit: int = LIMIT, overlap: int = OVERL
 
     long = entries.select("entry_id", "text").where(F.length("text") > limit)
     kind = long.schema["entry_id"].dataType.simpleString()
-    return long.mapInArrow(run, f"entry_id {kind}, piece_no int, start int, end int" + ", piece string" * with_text).distinct()
+    schema = f"entry_id {kind}, piece_no int, start int, end int" + ", piece string" * with_text
+    if not with_text:
+        return long.mapInArrow(run, schema).distinct()
+    once = long.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["entry_id", "_hash"]).drop("_hash")
+    return once.mapInArrow(run, schema)
+
+
+def rebuilt_texts(pieces: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """(entry_id, pieces, longest, hash): number and greatest length of an entry's pieces, and the md5 of the text they give back.
+
+    pieces: entry_id (of one text), piece_no, piece. An entry's pieces are as many as its text needs.
+    """
+    fresh = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring("piece", overlap + 1, 1 << 30))
+    g = pieces.groupBy("entry_id").agg(F.count("*").alias("pieces"), F.max(F.length("piece")).alias("longest"), F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("x")))).alias("all"))
+    return g.select("entry_id", "pieces", "longest", F.md5(F.array_join(F.transform("all", lambda p: p["x"]), "")).alias("hash"))
 
 
 def found_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,3 +165,9 @@ def found_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_pieces: the pieces themselves."""
     return split_oversized(table(spark, sf_dir, "memory_entries"))
+
+
+def rebuilt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_rebuilt: what the pieces of each entry give back, as a digest, and that none is too long."""
+    back = rebuilt_texts(pieces_query(spark, sf_dir))
+    return back.select("entry_id", "hash", (F.col("longest") <= LIMIT).alias("within_limit"), (F.col("pieces") > 1).alias("cut"))

@@ -3,18 +3,25 @@
 Tokens are the runs of five letters or digits of a normalised text. Each of the global orders is a
 pseudo-random permutation of all tokens. Two texts are candidates if they share their prefix token
 (the first of each) under all ``ORDERS_PER_FILTER`` orders of at least one of ``FILTERS`` groups of
-orders; the intersection inside a group is taken in the join key itself. For similarity s a group
-passes with probability s^6, so that of pairs at 0.75 about two in ten thousand escape all
-groups, and of pairs at the threshold of 0.7 four in a thousand, which nothing finds again, while texts that share a tenth of their tokens hardly ever meet. Candidates must
-then share enough prefix tokens under 32 further orders, and what is left is verified exactly on
-the whole token sets.
+orders; the intersection inside a group is taken in the key by which texts meet. For similarity s a
+group passes with probability s^6, so that of pairs at 0.75 about two in ten thousand escape all
+groups, and of pairs at the threshold of 0.7 four in a thousand, while texts that share a tenth of
+their tokens hardly ever meet. Candidates must then share enough prefix tokens under 32 further
+orders, and what is left is verified exactly on the whole token sets.
+
+``exact=True`` misses nothing: prefixes long enough for the threshold under ``EXACT_ORDERS`` orders,
+the first by rarity, intersected before the same verification. Its cost grows with the square of
+the table where tokens are frequent, so it serves small tables and comparisons.
 
 Equal normalised texts are one node, so copies meet neither in the filters nor in the
-verification. Texts travel once, compressed, and only for the verification.
+verification. Texts are read twice: for their signatures, and, compressed, for the verification.
+A key's texts come in sorted chunks of ``CHUNK``, so a key that holds a third of all texts is never
+gathered: its chunks meet one another as rows of a join that the engine can split.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkivist.plans.session import cut_lineage, spread, table
+from sparkivist.plans.session import cut_lineage, table
 
 RUN = 5
 LEAST_CHARS = 200
@@ -31,6 +38,9 @@ THRESHOLD = 0.7
 FILTERS, ORDERS_PER_FILTER = 44, 6
 #: Further orders, and how many of them must agree; pairs at 0.75 fall short of it with a probability below 1e-6.
 SKETCH, SKETCH_AGREE = 32, 12
+#: Texts of one key that are paired inside a task; and orders of the exact filter.
+CHUNK = 64
+EXACT_ORDERS = 3
 
 _DELETED = re.compile(r"[\W_]+")
 _ASCII_DELETED = {c: None for c in range(128) if not chr(c).isalnum()}
@@ -97,11 +107,6 @@ def filter_keys(best: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(stream: np.ndarray) -> bytes:
-    """One byte of the place of the prefix token under each further order."""
-    return (prefixes(stream, FILTERS * ORDERS_PER_FILTER, _N_ORDERS) & np.uint32(255)).astype(np.uint8).tobytes()
-
-
 def node_id(norm: str) -> int:
     """64-bit id of a normalised text; two in 1e9 texts share one with a probability of three in a hundred."""
     import xxhash
@@ -115,30 +120,116 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 0.0
 
 
-def _members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # nodes of this partition: copies have their keys once
     for b in batches:
-        ids, nodes, sketches = [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            n = normalise(t)
-            if len(n) >= LEAST_CHARS:
-                ids.append(i), nodes.append(node_id(n)), sketches.append(sketch(token_stream(n)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["entry_id", "node", "sketch"])
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            ids, nodes, fresh, best, sketches = [], [], [], [], []
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                n = normalise(t)
+                if len(n) < LEAST_CHARS:
+                    continue
+                node = node_id(n)
+                ids.append(i), nodes.append(node), fresh.append(node not in seen)
+                if node not in seen:
+                    seen.add(node)
+                    places = prefixes(token_stream(n), 0, _N_ORDERS)
+                    best.append(places[: FILTERS * ORDERS_PER_FILTER])
+                    sketches.append((places[FILTERS * ORDERS_PER_FILTER :] & np.uint32(255)).astype(np.uint8).tobytes())
+            keys = iter([k.tobytes() for k in filter_keys(np.stack(best))] if best else [])
+            drawn = iter(sketches)
+            packed = [next(keys) if f else None for f in fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array([next(drawn) if f else None for f in fresh], pa.binary()), pa.array(packed, pa.binary())], names=["entry_id", "node", "sketch", "keys"])
 
 
 def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # nodes of this partition: copies emit their keys once
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            nodes, best = [], []
-            for t in b.column(1).slice(at, 1000).to_pylist():
-                n = normalise(t)
-                if len(n) >= LEAST_CHARS and (node := node_id(n)) not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    best.append(prefixes(token_stream(n), 0, FILTERS * ORDERS_PER_FILTER))
-            if nodes:
-                keys = filter_keys(np.stack(best)).reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(nodes, dtype=np.int64), FILTERS))], names=["key", "node"])
+        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), FILTERS))], names=["key", "node"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(keys, nodes, nodes of the first key before these, first of those nodes) of rows sorted by (key, node).
+
+    A key that goes on in the next batch is held back up to a multiple of CHUNK; repeats are dropped.
+    """
+    held_k, held_n, before, hub = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0, 0
+    for b in _then_none(batches):
+        if b is not None:
+            k, n = np.concatenate((held_k, b.column(0).to_numpy())), np.concatenate((held_n, b.column(1).to_numpy()))
+            keep = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1]))) if len(k) else np.empty(0, dtype=bool)
+            k, n = k[keep], n[keep]
+            begin = int(np.searchsorted(k, k[-1])) if len(k) else 0  # of the last key, which may go on
+            cut = begin + (len(k) - 1 - begin) // CHUNK * CHUNK if len(k) else 0
+            held_k, held_n, k, n = k[cut:], n[cut:], k[:cut], n[:cut]
+        else:
+            k, n, held_k, held_n = held_k, held_n, held_k[:0], held_n[:0]
+        if len(k):
+            yield k, n, before, hub
+            same = len(held_k) and held_k[0] == k[-1]
+            first = int(np.searchsorted(k, k[-1]))
+            if same:
+                hub = hub if before and first == 0 else int(n[first])
+                before = (before if first == 0 else 0) + len(k) - first
+            else:
+                before, hub = 0, 0
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+_MET = "a long, b long, key long, chunk int, nodes binary"
+
+
+def _met(a: np.ndarray, b: np.ndarray, chunks: list[tuple[int, int, bytes]] = []) -> pa.RecordBatch:
+    n, m = len(a), len(chunks)
+    cols = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (a, b)]
+    cols += [pa.concat_arrays([pa.nulls(n, t), pa.array([c[i] for c in chunks], t)]) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "chunk", "nodes"])
+
+
+def _pairs_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node), sorted: all pairs inside each chunk of a key, and the chunks themselves of keys with several."""
+    for k, n, before, _ in _runs(batches):
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        place = np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
+        place[: start[1] if len(start) > 1 else len(k)] += before
+        chunk = place // CHUNK
+        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1]))))
+        size = np.diff(np.append(first, len(k)))
+        out_a, out_b = [], []
+        for s in np.unique(size[size > 1]).tolist():  # as many sizes as CHUNK at most
+            rows = n[first[size == s][:, None] + np.arange(s)]
+            i, j = np.triu_indices(s, 1)
+            out_a.append(rows[:, i].reshape(-1)), out_b.append(rows[:, j].reshape(-1))
+        big = [(int(k[f]), int(chunk[f]), n[f : f + s].tobytes()) for f, s in zip(first.tolist(), size.tolist()) if s == CHUNK or chunk[f] > 0]
+        none = np.empty(0, dtype=np.int64)
+        yield _met(np.concatenate(out_a or [none]), np.concatenate(out_b or [none]), big)
+
+
+def _stars_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node), sorted: each node with the first of its key, which keeps ``key``; single nodes are dropped."""
+    for k, n, before, hub in _runs(batches):
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(start, len(k)))
+        first = n[start].copy()
+        if before:
+            first[0] = hub
+        a = np.repeat(first, size)
+        keep = a != n
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(a[keep]), pa.array(n[keep])], names=["key", "a", "b"])
+
+
+def _across_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of two chunks' nodes."""
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            p, q = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
+            p, q = np.repeat(p, len(q)), np.tile(q, len(p))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,27 +287,75 @@ def _texts(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("entry_id").cast("long").alias("entry_id"), "text").where(F.length("text") >= LEAST_CHARS)
 
 
-def members(entries: DataFrame) -> DataFrame:
-    """(entry_id, node, sketch), distinct: entries with at least 200 letters and digits and their normalised text's id."""
-    return _texts(entries).where("entry_id IS NOT NULL").mapInArrow(_members_of, "entry_id long, node long, sketch binary").distinct()
+def signatures(entries: DataFrame) -> DataFrame:
+    """(entry_id, node, sketch, keys), cut off: entries with at least 200 letters and digits, and their text's id.
+
+    sketch and keys are given once per node and partition, null in its other rows.
+    """
+    rows = _texts(entries).where("entry_id IS NOT NULL")
+    return cut_lineage(rows.mapInArrow(_signatures_of, "entry_id long, node long, sketch binary, keys binary"))
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """(a, b), a < b: nodes that share the prefix tokens under all orders of a filter.
+def members(signed: DataFrame) -> DataFrame:
+    """(entry_id, node), distinct."""
+    return signed.select("entry_id", "node").distinct()
 
-    The keys are shuffled once: the removal of repeats and both sides of the join keep the
-    partitioning by key.
-    """
-    keys = _texts(entries).mapInArrow(_keys_of, "key long, node long").repartition("key").dropDuplicates(["key", "node"])
-    left, right = keys.select("key", F.col("node").alias("a")), keys.select("key", F.col("node").alias("b"))
-    return left.hint("merge").join(right, "key").where("a < b").select("a", "b").distinct()
 
+def _keyed(signed: DataFrame) -> DataFrame:
+    """(key, node), sorted inside partitions by key: where the texts meet. The only shuffle of all keys."""
+    keys = signed.where("keys IS NOT NULL").select("node", "keys").mapInArrow(_keys_of, "key long, node long")
+    return keys.repartition("key").sortWithinPartitions("key", "node")
 
-def links(entries: DataFrame, of: DataFrame) -> DataFrame:
-    """(a, b, similarity), a < b: all verified pairs of nodes; of: the result of ``members``."""
-    sketches = of.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    sa, sb = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    pairs = candidates(entries).join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of nodes that share the prefix tokens under all orders of a filter."""
+    met = cut_lineage(_keyed(signed).mapInArrow(_pairs_of_keys, _MET))
+    big = met.where("key IS NOT NULL").select("key", "chunk", "nodes")
+    other = big.select(F.col("key").alias("k2"), F.col("chunk").alias("c2"), F.col("nodes").alias("n2"))
+    across = big.join(other, (F.col("key") == F.col("k2")) & (F.col("chunk") < F.col("c2"))).select("nodes", "n2").mapInArrow(_across_chunks, "a long, b long")
+    return met.where("a IS NOT NULL").select("a", "b").unionByName(across).distinct()
+
+
+def _exact_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for b in batches:
+        nodes, toks, others = [], [], []
+        for t in b.column(1).to_pylist():
+            n = normalise(t)
+            if len(n) >= LEAST_CHARS and (node := node_id(n)) not in seen:
+                seen.add(node)
+                h = tokens(n)
+                size = len(h) - math.ceil(THRESHOLD * len(h)) + 1
+                low = (h >> np.uint64(32)).astype(np.uint32)
+                nodes.append(node), toks.append(h.view(np.int64))
+                others.append([h[np.lexsort((h, low * _MULTIPLIERS[i]))[:size]].view(np.int64) for i in range(EXACT_ORDERS - 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int64())))], names=["node", "tokens", "others"])
+
+
+def exact_candidates(entries: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs that share a prefix token under every one of ``EXACT_ORDERS`` orders; none at 0.7 is missed.
+
+    Of n tokens a prefix has n - ceil(0.7 n) + 1. The rarest tokens come first in the first order,
+    whose prefixes are joined; the others are compared on the pairs.
+    """
+    rows = _texts(entries).mapInArrow(_exact_prefixes, "node long, tokens array<long>, others array<array<long>>")
+    rows = cut_lineage(rows.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("others").alias("others")))
+    post = rows.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    df = post.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = post.join(df, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    prefix = cut_lineage(ranked.select("node", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * THRESHOLD) + 1).cast("int"))).alias("x")).select("node", "x.token"))
+    left, right = prefix.select("token", F.col("node").alias("a")), prefix.select("token", F.col("node").alias("b"))
+    pairs = left.join(right, "token").where("a < b").select("a", "b").distinct()
+    oa, ob = rows.select(F.col("node").alias("a"), F.col("others").alias("oa")), rows.select(F.col("node").alias("b"), F.col("others").alias("ob"))
+    return pairs.join(oa, "a").join(ob, "b").where(F.forall(F.zip_with("oa", "ob", F.arrays_overlap), lambda x: x)).select("a", "b")
+
+
+def verified(pairs: DataFrame, entries: DataFrame, signed: DataFrame | None) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) of nodes at 0.7 or more; with ``signed`` only those that agree under enough further orders."""
+    if signed is not None:
+        sketches = signed.where("sketch IS NOT NULL").groupBy("node").agg(F.first("sketch").alias("sketch"))
+        sa, sb = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+        pairs = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
     pairs = cut_lineage(pairs)
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
     bodies = _texts(entries).mapInArrow(_bodies_of, "node long, body binary")
@@ -224,25 +363,29 @@ def links(entries: DataFrame, of: DataFrame) -> DataFrame:
     return rows.repartition("a", "b").sortWithinPartitions("a", "b", "node").mapInArrow(_verify, "a long, b long, similarity double")
 
 
-def similar_pairs(entries: DataFrame) -> DataFrame:
+def similar_pairs(entries: DataFrame, exact: bool = False) -> DataFrame:
     """(entry_a, entry_b), entry_a < entry_b: pairs of different entries with a similarity of at least 0.7.
 
     entries: entry_id, text; other columns are not read. Null and short texts take no part,
     repeated rows count once. Copies that are equal once normalised are paired with one another
     and with all partners of their text, as the result is defined; ``similar_groups`` gives the
-    same links without that expansion. An empty table gives no rows.
+    same classes without that expansion. An empty table gives no rows. exact: see the module.
     """
-    of = cut_lineage(members(entries))
-    found = links(entries, of).select("a", "b")
+    signed = signatures(entries)
+    of = members(signed)
+    found = verified(exact_candidates(entries) if exact else candidates(signed), entries, None if exact else signed).select("a", "b")
     ma, mb = of.select(F.col("entry_id").alias("ea"), F.col("node").alias("a")), of.select(F.col("entry_id").alias("eb"), F.col("node").alias("b"))
     across = found.join(ma, "a").join(mb, "b").select(F.least("ea", "eb").alias("entry_a"), F.greatest("ea", "eb").alias("entry_b"))
-    copied = of.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    copies = of.join(copied, "node").select("node", "entry_id")
-    within = copies.select("node", F.col("entry_id").alias("entry_a")).join(copies.select("node", F.col("entry_id").alias("entry_b")), "node").where("entry_a < entry_b")
-    return across.where("entry_a < entry_b").unionByName(within.select("entry_a", "entry_b")).distinct()
+    # Copies of a text meet in chunks as texts of a key do.
+    met = cut_lineage(of.select("node", "entry_id").repartition("node").sortWithinPartitions("node", "entry_id").mapInArrow(_pairs_of_keys, _MET))
+    big = met.where("key IS NOT NULL").select("key", "chunk", "nodes")
+    other = big.select(F.col("key").alias("k2"), F.col("chunk").alias("c2"), F.col("nodes").alias("n2"))
+    far = big.join(other, (F.col("key") == F.col("k2")) & (F.col("chunk") < F.col("c2"))).select("nodes", "n2").mapInArrow(_across_chunks, "a long, b long")
+    within = met.where("a IS NOT NULL").select("a", "b").unionByName(far)
+    return across.where("entry_a < entry_b").unionByName(within.select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), by alternating large-star and small-star steps.
 
     Every round sends each node's neighbours to the least one; hubs are spread by the aggregation
@@ -250,7 +393,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     e = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: larger neighbours of u move to the least of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -268,24 +411,42 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def group_links(entries: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): verified links that connect whatever any verified link connects, without all pairs of a key.
+
+    First each node of a key is compared with the key's first node only. Then only nodes of a key
+    that are still in different components are compared with one another; keys whose nodes have
+    come together, such as those of the edited copies of one template, are done.
+    """
+    star = cut_lineage(_keyed(signed).mapInArrow(_stars_of_keys, "key long, a long, b long"))
+    first = cut_lineage(verified(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), entries, signed).select("a", "b"))
+    root = components(first)
+    nodes = star.select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    nodes = cut_lineage(nodes)
+    apart = nodes.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = cut_lineage(nodes.join(apart, "key", "left_semi"))
+    x, y = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = x.join(y, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return first.unionByName(verified(pairs, entries, signed).select("a", "b"))
+
+
 def similar_groups(entries: DataFrame) -> DataFrame:
-    """(entry_id, group_id, n_links): one row per entry with a near-duplicate.
+    """(entry_id, group_id, group_size): one row per entry with a near-duplicate.
 
-    group_id is the least entry_id of the group; n_links counts the different texts that the
-    entry's text is linked with, copies not expanded.
+    group_id is the least entry_id of the group. The groups are the connected components of what
+    ``similar_pairs`` links, from at most a star of links per key and what that leaves apart.
     """
-    of = cut_lineage(members(entries))
-    found = cut_lineage(links(entries, of).select("a", "b"))
-    root = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    grouped = of.join(root, "node", "left").join(degree, "node", "left").select("entry_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    heads = grouped.groupBy("root").agg(F.min("entry_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("root", "group_id")
-    return grouped.join(heads, "root").select("entry_id", "group_id", "n_links")
+    signed = signatures(entries)
+    of = cut_lineage(members(signed))
+    root = components(group_links(entries, signed))
+    grouped = of.join(root, "node", "left").select("entry_id", F.coalesce("root", "node").alias("root"))
+    heads = grouped.groupBy("root").agg(F.min("entry_id").alias("group_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    return grouped.join(heads, "root").select("entry_id", "group_id", "group_size")
 
 
 def found_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p3_found over the whole of memory_entries."""
-    return similar_pairs(spread(table(spark, sf_dir, "memory_entries").select("entry_id", "text")))
+    return similar_pairs(table(spark, sf_dir, "memory_entries").select("entry_id", "text"))
 
 
 def groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,7 @@ def test_pairs_against_brute_force(spark):
     toks = {i: set(neardup.tokens(neardup.normalise(t)).tolist()) for i, t in enumerate(data) if t and len(neardup.normalise(t)) >= 200}
     want = {(i, j) for i in toks for j in toks if i < j and len(toks[i] & toks[j]) / len(toks[i] | toks[j]) >= 0.7}
     assert {tuple(r) for r in neardup.similar_pairs(df.unionAll(df)).collect()} == want and want
+    assert {tuple(r) for r in neardup.similar_pairs(df, exact=True).collect()} == want
     parent = {}
 
     def find(x):
@@ -90,6 +91,30 @@ def test_pairs_against_brute_force(spark):
     assert neardup.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_keys_are_paired_in_chunks():
+    rnd = random.Random(3)
+    groups = {k: sorted(rnd.sample(range(10**6), n)) for k, n in ((1, 1), (2, 3), (5, 64), (7, 65), (8, 300), (9, 1), (11, 128))}
+    rows_ = sorted((k, n) for k, ns in groups.items() for n in ns + ns[:2])
+    for width in (1, 7, 63, 64, 65, 200, 1000):
+        batches = [neardup.pa.RecordBatch.from_arrays([neardup.pa.array([x[i] for x in rows_[at : at + width]]) for i in (0, 1)], names=["key", "node"]) for at in range(0, len(rows_), width)]
+        pairs, chunks = [], {}
+        for b in neardup._pairs_of_keys(iter(batches)):
+            for r in b.to_pylist():
+                if r["a"] is not None:
+                    pairs.append((r["a"], r["b"]))
+                else:
+                    chunks.setdefault(r["key"], {})[r["chunk"]] = r["nodes"]
+        for k, cs in chunks.items():
+            for i in cs:
+                for j in cs:
+                    if i < j:
+                        b = neardup.pa.RecordBatch.from_arrays([neardup.pa.array([cs[i]]), neardup.pa.array([cs[j]])], names=["x", "y"])
+                        pairs += [(r["a"], r["b"]) for out in neardup._across_chunks(iter([b])) for r in out.to_pylist()]
+        assert sorted(pairs) == sorted((a, b) for ns in groups.values() for i, a in enumerate(ns) for b in ns[i + 1 :])
+        stars = {(r["key"], r["a"], r["b"]) for b in neardup._stars_of_keys(iter(batches)) for r in b.to_pylist()}
+        assert stars == {(k, ns[0], x) for k, ns in groups.items() for x in ns[1:]}
+
+
 def test_tokens_by_definition():
     n = neardup.normalise("Ab-c_D 一二３!é")
     assert n == "abcd一二３é"
