@@ -87,7 +87,7 @@ def _hybrid(query: str, p: str, k: int) -> str:
 {p}graph AS (SELECT doc_id, row_number() OVER (ORDER BY min(major * 1000 + minor)) AS r FROM {p}walk GROUP BY doc_id),
 {p}fused AS (SELECT doc_id, round(sum(part), 9) AS fused FROM (
   SELECT doc_id, 1.0 / (60 + r) AS part FROM {p}lex UNION ALL SELECT doc_id, 1.0 / (60 + r) FROM {p}vec
-  UNION ALL SELECT doc_id, 1.0 / (5 + r) FROM {p}graph WHERE EXISTS (SELECT 1 FROM {p}graph WHERE doc_id NOT IN (SELECT doc_id FROM {p}lex))) GROUP BY doc_id),
+  UNION ALL SELECT doc_id, 1.0 / (5 + r) FROM {p}graph WHERE EXISTS (SELECT 1 FROM {p}graph WHERE doc_id NOT IN (SELECT doc_id FROM {p}seeds))) GROUP BY doc_id),
 {p}r AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY fused DESC, doc_id) AS r, layer FROM {p}fused JOIN toks USING (doc_id)),
 {p}h AS (SELECT min(r) AS r FROM (SELECT min(r) AS r FROM {p}r GROUP BY layer) WHERE r > {k}),
 {p}top AS MATERIALIZED (SELECT doc_id, least(r, {k}) AS r FROM {p}r WHERE r < {k} OR r = coalesce((SELECT r FROM {p}h), {k}))"""
@@ -181,7 +181,7 @@ def sql() -> dict[str, str]:
             graph AS (SELECT doc_id, row_number() OVER (ORDER BY min(major * 1000 + minor)) AS r FROM walk GROUP BY doc_id),
             fused AS (SELECT doc_id, round(sum(p), 9) AS fused FROM (
               SELECT doc_id, 1.0 / (60 + r) AS p FROM lex UNION ALL SELECT doc_id, 1.0 / (60 + r) FROM vec
-              UNION ALL SELECT doc_id, 1.0 / (5 + r) FROM graph WHERE EXISTS (SELECT 1 FROM graph WHERE doc_id NOT IN (SELECT doc_id FROM lex))) GROUP BY doc_id),
+              UNION ALL SELECT doc_id, 1.0 / (5 + r) FROM graph WHERE EXISTS (SELECT 1 FROM graph WHERE doc_id NOT IN (SELECT doc_id FROM seeds))) GROUP BY doc_id),
             r AS (SELECT doc_id, layer, fused, row_number() OVER (ORDER BY fused DESC, doc_id) AS r FROM fused JOIN toks USING (doc_id)),
             h AS (SELECT min(r) AS r FROM (SELECT layer, min(r) AS r FROM r GROUP BY layer) WHERE r > 10)
             SELECT doc_id, layer, fused, least(r, 10) AS rank FROM r WHERE r <= 9 OR r = coalesce((SELECT r FROM h), 10)""",

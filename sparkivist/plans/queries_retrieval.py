@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkivist.functions import chunkers
 from sparkivist.functions import text as T
-from sparkivist.operators import gates, ranking, vectors
-from sparkivist.plans.session import cut_lineage, spread, table
+from sparkivist.operators import gates, index, ranking, vectors
+from sparkivist.plans.session import cut_lineage, table
 
 QUERY = "the budget for the winter trip to Haldenmere"
 QUERY_HAN = "冬天出行的预算和两只白鹭的故事"
@@ -18,7 +18,7 @@ PROBES = ["the budget for the winter trip", "两只白鹭的故事", "submarine
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"))
+    return table(spark, d, "documents")
 
 
 def bigram_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -144,8 +144,8 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank_ngram(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    s = ranking.bm25_scores(docs, QUERY, keep=("text",)).where("admitted").select("doc_id", "text", F.round("score", 6).alias("score"))
-    coarse = s.orderBy(F.desc("score"), "doc_id").limit(20)
+    s = ranking.bm25_scores(docs, QUERY).where("admitted").select("doc_id", F.round("score", 6).alias("score"))
+    coarse = docs.select("doc_id", "text").join(F.broadcast(s.orderBy(F.desc("score"), "doc_id").limit(20)), "doc_id")
     fine = F.lit(0.0)
     for n, w in ((2, 1.0), (3, 2.0), (4, 4.0)):
         q = T.query_ngrams(QUERY, n)
@@ -154,13 +154,13 @@ def rerank_ngram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_claim_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that share a distinctive bigram with any of the query's three best, newest first."""
+    """Documents that share a distinctive bigram with any of the query's three best; a set, in no order."""
     docs = _docs(spark, d)
     s = ranking.bm25_scores(docs, QUERY).where("admitted").select("doc_id", F.round("score", 6).alias("score"))
     heads = cut_lineage(s.orderBy(F.desc("score"), "doc_id").limit(3).select("doc_id"))
-    p = cut_lineage(ranking.distinctive_postings(docs, cap=None))
-    claims = p.join(F.broadcast(heads), "doc_id").select("token").distinct()
-    near = p.join(claims, "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    p = cut_lineage(ranking.distinctive_postings(cut_lineage(index.build(docs)), cap=None))
+    claims = p.join(F.broadcast(heads), "doc_id").select("gram").distinct()
+    near = p.join(claims, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
     rest = near.join(F.broadcast(heads), "doc_id", "left_anti").join(docs.select("doc_id", "local_date"), "doc_id")
     return rest.select("doc_id", "shared", "local_date")
 
