@@ -5,10 +5,11 @@ Stages, all of them row-local or joins on bounded tables:
 1. ``parse_notations`` reads each value into an instant, or into wall-clock time with a zone
    (its own or the source's). Numeric day/month values with the year last keep both readings.
 2. ``date_orders`` aggregates, per source, what the unambiguous values show about the order.
-3. ``zone_intervals`` explodes the tz database into (zone, year, interval, offset) rows.
-4. ``resolve_wall_clock`` joins wall-clock times to the intervals: two matches mean the time
-   occurs twice (the earlier instant is taken), none means it was skipped (moved on by the
-   gap), one gives the offset.
+3. ``zone_intervals`` explodes the tz database into one row per zone and year, with the
+   intervals of constant offset of that year.
+4. ``resolve_wall_clock`` joins wall-clock times to the intervals by zone and year: two matching
+   intervals mean the time occurs twice (the earlier instant is taken), none means it was skipped
+   (moved on by the gap), one gives the offset. Years beyond the table ask the database itself.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Years of the interval table; times outside are resolved one by one, to the same rules.
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 _EPOCH_DAY = date(1970, 1, 1).toordinal()
 _US = 1_000_000
@@ -70,7 +72,7 @@ def _wall_us(y: int, mo: int, d: int, h: int = 0, mi: int = 0, s: int = 0, frac:
         day = date(y, mo, d).toordinal() - _EPOCH_DAY
     except ValueError:
         return None
-    if not FIRST_YEAR <= y <= LAST_YEAR or h > 23 or mi > 59 or s > 59:
+    if h > 23 or mi > 59 or s > 59:
         return None
     return ((day * 24 + h) * 60 + mi) * 60 * _US + s * _US + (int(frac[:6].ljust(6, "0")) if frac else 0)
 
@@ -113,7 +115,7 @@ def read_notation(value: str | None) -> dict | None:
     if value is None:
         return None
     v = unicodedata.normalize("NFKC", value).strip().strip("​﻿").strip()
-    if not v or len(v) > 80:
+    if not v:
         return None
     if _NUMBER.fullmatch(v):
         whole, _, frac = v.lstrip("+-").partition(".")
@@ -226,54 +228,53 @@ def _file_changes(name: str) -> list[int]:
     return list(struct.unpack(f">{counts[3]}{'q' if width == 8 else 'l'}", raw[begin + 44 : begin + 44 + counts[3] * width]))
 
 
-def _transitions(zone_names: list[str]) -> Iterator[tuple]:
-    """(zone, wall_from, wall_to, offset, gap) per interval of constant offset, in microseconds.
+def _offset_at(zone, second: int) -> int:
+    """Seconds ahead of UTC at an instant; instants outside the calendar take the nearest inside."""
+    at = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=min(max(second, _EARLIEST), _LATEST))
+    return round(at.astimezone(zone).utcoffset().total_seconds())
 
-    gap is how much wall-clock time is skipped right before the interval.
-    """
+
+_EARLIEST, _LATEST = -62_135_510_400, 253_402_214_400  # 0001-01-02 and 9999-12-31, seconds
+
+
+def _constant_offsets(name: str) -> list[tuple[int, int, int]]:
+    """(from, to, offset), in seconds of UTC, of the intervals of constant offset between FIRST_YEAR and LAST_YEAR."""
     import zoneinfo
 
-    utc = timezone.utc
-    for name in zone_names:
-        zone = zoneinfo.ZoneInfo(name)
-
-        def offset(second: int) -> int:
-            return int((datetime(1970, 1, 1, tzinfo=utc) + timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
-
-        start = int(datetime(FIRST_YEAR, 1, 1, tzinfo=utc).timestamp())
-        end = int(datetime(LAST_YEAR + 1, 1, 1, tzinfo=utc).timestamp())
-        # Between listed changes the offset is constant; the rule that goes on after them is followed by days.
-        listed = sorted({s for s in _file_changes(name) if start < s < end})
-        at, off, changes = start, offset(start), []
-        for nxt in (*listed, *range((listed or [start])[-1] + 86400, end, 86400), end):
-            if offset(nxt) != off:
-                lo, hi = at, nxt
-                while hi - lo > 1:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid, hi) if offset(mid) == off else (lo, mid)
-                changes.append((hi, off, off := offset(hi)))
-            at = nxt
-        bounds = [start - 86400, *(c[0] for c in changes), end + 86400]
-        offs = [changes[0][1] if changes else off, *(c[2] for c in changes)]
-        for i, o in enumerate(offs):
-            gap = max(0, o - offs[i - 1]) if i else 0
-            yield name, (bounds[i] + o) * _US, (bounds[i + 1] + o) * _US, o * _US, gap * _US
+    zone, utc = zoneinfo.ZoneInfo(name), timezone.utc
+    start = int(datetime(FIRST_YEAR - 1, 12, 30, tzinfo=utc).timestamp())
+    end = int(datetime(LAST_YEAR + 1, 1, 3, tzinfo=utc).timestamp())
+    # Between listed changes the offset is constant; the rule that goes on after them is followed by days.
+    listed = sorted({s for s in _file_changes(name) if start < s < end})
+    at, off, out, begin = start, _offset_at(zone, start), [], start
+    for nxt in (*listed, *range((listed or [start])[-1] + 86400, end, 86400), end):
+        if (new := _offset_at(zone, nxt)) != off:
+            lo, hi = at, nxt
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if _offset_at(zone, mid) == off else (lo, mid)
+            out.append((begin, hi, off))
+            begin, off = hi, new
+        at = nxt
+    return [*out, (begin, end, off)]
 
 
 def _interval_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(zone, year, intervals): those that touch the year or the two days on either side of it, in wall-clock microseconds."""
     for b in batches:
         rows: list[tuple] = []
-        for name, lo, hi, off, gap in _transitions(b.column(0).to_pylist()):
-            # The skipped wall-clock time before the interval belongs to its row, as gap_from.
-            for y in range(datetime.fromtimestamp((lo - gap) / _US, timezone.utc).year, datetime.fromtimestamp((hi - 1) / _US, timezone.utc).year + 1):
-                if FIRST_YEAR <= y <= LAST_YEAR:
-                    rows.append((name, y, lo, hi, off, lo - gap, gap))
-        cols = list(zip(*rows)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), *[pa.int64()] * 5])], names=["zone", "year", "wall_from", "wall_to", "offset_us", "gap_from", "gap_us"])
+        for name in b.column(0).to_pylist():
+            walls = [((lo + o) * _US, (hi + o) * _US, o * _US) for lo, hi, o in _constant_offsets(name)]
+            for y in range(FIRST_YEAR, LAST_YEAR + 1):
+                lo, hi = (_wall_us(y, 1, 1) or 0) - 2 * 86400 * _US, (_wall_us(y, 12, 31) or 0) + 3 * 86400 * _US
+                rows.append((name, y, [{"lo": a, "hi": z, "off": o} for a, z, o in walls if a < hi and z > lo]))
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.struct([(n, pa.int64()) for n in ("lo", "hi", "off")])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["zone", "year", "intervals"])
 
 
 def zone_intervals(zones: DataFrame) -> DataFrame:
-    """Intervals of constant offset of the zones in column ``zone``, exploded by calendar year.
+    """(zone, year, intervals) of the zones in column ``zone``, intervals being an array of (lo, hi, off).
 
     The tz database bounds the result: some six hundred names, two hundred years and a handful of
     intervals each, whatever the data. Names it doesn't hold are left out.
@@ -282,36 +283,59 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
 
     known = sorted(zoneinfo.available_timezones())
     wanted = zones.where(F.col("zone").isin(known)).select("zone").distinct()
-    return wanted.mapInArrow(_interval_batches, "zone string, year int, wall_from long, wall_to long, offset_us long, gap_from long, gap_us long")
+    return wanted.mapInArrow(_interval_batches, "zone string, year int, intervals array<struct<lo:long,hi:long,off:long>>")
 
 
-def resolve_wall_clock(walls: DataFrame, intervals: DataFrame) -> DataFrame:
-    """utc_us of rows with ``wall_us`` and ``zone``, by an as-of join on (zone, year).
+def _by_database(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """offset and status of (wall_us, zone) rows, the last two columns, asked of the tz database one by one."""
+    import zoneinfo
 
-    An interval matches if it holds the wall-clock time, or if the time lies in the gap before
-    it. One or two rows match; of two (a time that occurs twice) the earlier instant counts. In a
-    gap the offset before it applies, which moves the time on by the gap's length.
-    The intervals are bounded by the tz database and broadcast.
-    """
-    w = walls.withColumn("year", F.year(F.timestamp_micros("wall_us")))
-    hit = (F.col("wall_us") >= F.col("gap_from")) & (F.col("wall_us") < F.col("wall_to"))
-    i = intervals.withColumnRenamed("zone", "_zone").withColumnRenamed("year", "_year")
-    joined = w.join(F.broadcast(i), (w["zone"] == i["_zone"]) & (w["year"] == i["_year"]) & hit)
-    skipped = F.col("wall_us") < F.col("wall_from")
-    utc = F.col("wall_us") - F.col("offset_us") + F.when(skipped, F.col("gap_us")).otherwise(0)
-    return joined.withColumn("utc_us", utc).drop("_zone", "_year", "year", "wall_from", "wall_to", "offset_us", "gap_from", "gap_us")
+    known = zoneinfo.available_timezones()
+    for b in batches:
+        offsets, states = [], []
+        for wall, name in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            if name not in known:
+                offsets.append(None), states.append(None)
+                continue
+            zone, local = zoneinfo.ZoneInfo(name), wall // _US
+            # An offset is right if the instant that it gives has it; days around hold all offsets in question.
+            near = {_offset_at(zone, local + d * 3600) for d in range(-30, 31)}
+            right = [o for o in near if _offset_at(zone, local - o) == o]
+            offsets.append((max(right) if right else _offset_at(zone, local - max(near))) * _US)
+            states.append("unique" if len(right) == 1 else "ambiguous" if right else "nonexistent")
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(offsets, pa.int64()), pa.array(states, pa.string())], names=[*b.schema.names, "_off", "status"])
 
 
-def normalise_timestamps(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    """(entry_id, utc_ms), one row per entry whose timestamp states an instant.
+def resolve_wall_clock(walls: DataFrame, intervals: DataFrame) -> DataFrame:
+    """utc_us and status of rows with ``wall_us`` and ``zone``, by an as-of join on (zone, year).
 
-    entries: entry_id, source_id, timestamp, timestamp_source; sources: source_id, zone. An offset
-    or zone in the value decides, else the zone of the source; without either a wall-clock value
-    is no case, nor is an entry whose timestamp_source is mtime. Repeated entries come out once;
-    an entry_id whose copies disagree keeps its earliest instant. Empty inputs give no rows;
-    further columns are ignored.
+    status tells how many intervals hold the wall-clock time: unique is one; ambiguous is two, of
+    which the earlier instant counts; nonexistent is none, a time in a gap, for which the offset
+    before the gap applies, so that it is moved on by the gap's length. Unknown zones give no rows.
+    The intervals are bounded by the tz database and broadcast; ``wall_us`` and ``zone`` must not be null.
+    """
+    others = [c for c in walls.columns if c not in ("wall_us", "zone")]
+    w = walls.select(*others, "wall_us", "zone", F.year(F.timestamp_micros("wall_us")).alias("_y"))
+    inside = F.col("_y").between(FIRST_YEAR, LAST_YEAR)
+    i = intervals.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "intervals")
+    joined = w.where(inside).join(F.broadcast(i), (w["zone"] == i["_zone"]) & (F.col("_y") == i["_year"]))
+    holding = F.filter("intervals", lambda x: (x["lo"] <= F.col("wall_us")) & (F.col("wall_us") < x["hi"]))
+    before = F.filter("intervals", lambda x: x["hi"] <= F.col("wall_us"))
+    status = F.when(F.size("_hit") == 1, "unique").when(F.size("_hit") > 1, "ambiguous").otherwise("nonexistent")
+    # Of two matches the greater offset is the earlier instant; in a gap the last interval before it counts.
+    offset = F.when(F.size("_hit") > 0, F.array_max(F.transform("_hit", lambda x: x["off"]))).otherwise(F.element_at(F.col("_before"), -1)["off"])
+    near = joined.select(*others, "wall_us", "zone", holding.alias("_hit"), before.alias("_before")).select(*others, "wall_us", "zone", offset.alias("_off"), status.alias("status"))
+    far = w.where(~inside).select(*others, "wall_us", "zone")
+    far = far.mapInArrow(_by_database, T.StructType([*far.schema.fields, T.StructField("_off", T.LongType()), T.StructField("status", T.StringType())]))
+    return near.unionByName(far.where("status IS NOT NULL")).withColumn("utc_us", F.col("wall_us") - F.col("_off")).drop("_off")
+
+
+def instants(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(entry_id, utc_us, status) of every reading that states an instant.
+
+    status is stated where the value has an offset or is a number, else that of its wall-clock
+    time: unique, ambiguous or nonexistent. See ``normalise_timestamps`` for the rules.
     """
-    spark = entries.sparkSession
     from sparkivist.plans.session import cut_lineage
 
     mtime = F.lower(F.trim(F.coalesce("timestamp_source", F.lit("")))) == "mtime"
@@ -327,10 +351,22 @@ def normalise_timestamps(entries: DataFrame, sources: DataFrame) -> DataFrame:
     walls = walls.select("entry_id", reading.alias("wall_us"), "off_us", F.trim(F.coalesce("own_zone", "source_zone")).alias("zone")).where("wall_us IS NOT NULL")
 
     names = zone.select(F.trim("source_zone").alias("zone")).union(parsed.where("own_zone IS NOT NULL").select("own_zone")).distinct()
-    fixed = walls.where("off_us IS NOT NULL").select("entry_id", (F.col("wall_us") - F.col("off_us")).alias("utc_us"))
-    local = resolve_wall_clock(walls.where("off_us IS NULL"), zone_intervals(names)).select("entry_id", "utc_us")
-    instants = parsed.where("utc_us IS NOT NULL").select("entry_id", "utc_us").unionByName(fixed).unionByName(local)
-    return instants.groupBy("entry_id").agg(F.floor(F.min("utc_us") / F.lit(1000)).cast("long").alias("utc_ms"))
+    stated = F.lit("stated").alias("status")
+    fixed = walls.where("off_us IS NOT NULL").select("entry_id", (F.col("wall_us") - F.col("off_us")).alias("utc_us"), stated)
+    local = resolve_wall_clock(walls.where("off_us IS NULL AND zone IS NOT NULL").select("entry_id", "wall_us", "zone"), zone_intervals(names)).select("entry_id", "utc_us", "status")
+    return parsed.where("utc_us IS NOT NULL").select("entry_id", "utc_us", stated).unionByName(fixed).unionByName(local)
+
+
+def normalise_timestamps(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(entry_id, utc_ms), one row per entry whose timestamp states an instant.
+
+    entries: entry_id, source_id, timestamp, timestamp_source; sources: source_id, zone. An offset
+    or zone in the value decides, else the zone of the source; without either a wall-clock value
+    is no case, nor is an entry whose timestamp_source is mtime. Repeated entries come out once;
+    an entry_id whose copies disagree keeps its earliest instant. Empty inputs give no rows;
+    further columns are ignored.
+    """
+    return instants(entries, sources).groupBy("entry_id").agg(F.floor(F.min("utc_us") / F.lit(1000)).cast("long").alias("utc_ms"))
 
 
 def timestamps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,3 +374,11 @@ def timestamps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkivist.plans.session import table
 
     return normalise_timestamps(table(spark, sf_dir, "memory_entries"), table(spark, sf_dir, "import_sources"))
+
+
+def status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_status: how many entries of memory_entries state an instant in each way."""
+    from sparkivist.plans.session import table
+
+    found = instants(table(spark, sf_dir, "memory_entries"), table(spark, sf_dir, "import_sources"))
+    return found.groupBy("status").agg(F.count_distinct("entry_id").alias("entries"))

@@ -263,4 +263,4 @@ _FUNCTIONS = (
     session_summary, session_size_cap, message_epochs, message_dedup, archive_batches, import_statistics, entry_turns, input_gate, message_intent, near_dup_facts, near_dup_survivors, clean_facts, fact_search, facts_per_day, older_states,
     uncovered_records, facts_live, window_siblings, index_bridge, json_props, interval_coverage, event_windows, latest_by_user, pricing_summary, transcript,
 )
-QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"p2_found": timestamps.timestamps_query}
+QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"p2_found": timestamps.timestamps_query, "p2_status": timestamps.status_query}

@@ -1,3 +1,4 @@
+import random
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 
@@ -64,15 +65,46 @@ def test_numeric_dates_keep_both_readings():
     assert ts.read_notation("23/10/2024 10:00")["mdy"] is None
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(0, 60 * 365 * 1440), st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "America/Sao_Paulo", "Asia/Kolkata", "Pacific/Apia"]))
-def test_intervals_agree_with_the_tz_database(minutes, zone):
-    wall = datetime(1975, 1, 1) + timedelta(minutes=minutes)
-    w = us(*wall.timetuple()[:5])
-    cached = test_intervals_agree_with_the_tz_database.__dict__.setdefault(zone, list(ts._transitions([zone])))
-    hits = [w - off + (gap if w < lo else 0) for _, lo, hi, off, gap in cached if lo - gap <= w < hi]
-    # fold=0 is the earlier of two instants and, in a gap, the offset before it.
-    assert min(hits) == w - int(wall.replace(tzinfo=zoneinfo.ZoneInfo(zone), fold=0).utcoffset().total_seconds()) * 1_000_000
+def resolved(offsets, wall):
+    """Offset of a wall-clock second by the rule of the join, and how many intervals hold it."""
+    hits = [o for lo, hi, o in offsets if lo + o <= wall < hi + o]
+    return (max(hits) if hits else [o for lo, hi, o in offsets if hi + o <= wall][-1]), len(hits)
+
+
+@pytest.mark.parametrize("letter", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+def test_all_zones_agree_with_the_tz_database(letter):
+    rnd, epoch = random.Random(letter), datetime(1970, 1, 1)
+    for name in sorted(z for z in zoneinfo.available_timezones() if z.upper().startswith(letter)):
+        zone, offsets = zoneinfo.ZoneInfo(name), ts._constant_offsets(name)
+        near = [lo + o for (lo, _, _), (_, _, o) in zip(offsets[1:], offsets)]
+        walls = [w + d for w in rnd.sample(near, min(10, len(near))) for d in (-7200, -1, 0, 1800, 3599, 7200)] + [rnd.randrange(-2_200_000_000, 4_100_000_000) for _ in range(10)]
+        for w in walls:
+            local = epoch + timedelta(seconds=w)
+            off, n = resolved(offsets, w)
+            # fold=0 is the earlier of two instants and, in a gap, the offset before it; the folds differ in both.
+            first, second = (round(local.replace(tzinfo=zone, fold=f).utcoffset().total_seconds()) for f in (0, 1))
+            assert off == first, (name, local)
+            assert n == (1 if first == second else 2 if first > second else 0), (name, local)
+
+
+def test_status_and_far_years(spark):
+    data = [
+        ("a", us(2025, 3, 30, 2, 30), "Europe/Berlin"), ("b", us(2025, 10, 26, 2, 30), "Europe/Berlin"), ("c", us(2025, 6, 1), "Europe/Berlin"), ("d", us(2011, 12, 30, 12), "Pacific/Apia"), ("e", us(2250, 3, 31, 2, 30), "Europe/Berlin"),
+        ("f", us(2250, 10, 27, 2, 30), "Europe/Berlin"), ("g", us(1850, 6, 1), "Europe/Berlin"), ("h", us(2025, 6, 1), "No/Where"), ("i", us(2300, 6, 1), "No/Where"), ("j", us(2100, 12, 31, 23, 59), "America/New_York"), ("k", us(1900, 1, 1), "Asia/Tokyo"),
+    ]
+    w = spark.createDataFrame(data, "id string, wall_us long, zone string")
+    got = {r["id"]: (r["utc_us"], r["status"]) for r in ts.resolve_wall_clock(w, ts.zone_intervals(w.select("zone"))).collect()}
+    assert {k: v[1] for k, v in got.items()} == {"a": "nonexistent", "b": "ambiguous", "c": "unique", "d": "nonexistent", "e": "nonexistent", "f": "ambiguous", "g": "unique", "j": "unique", "k": "unique"}
+    for i, wall, zone in data:
+        if i in got:
+            local = datetime(1970, 1, 1) + timedelta(microseconds=wall)
+            assert got[i][0] == wall - round(local.replace(tzinfo=zoneinfo.ZoneInfo(zone)).utcoffset().total_seconds()) * 1_000_000
+
+
+def test_no_value_is_too_long_or_too_far():
+    assert ts.read_notation("1899-05-01T10:00:00Z") == {"utc": us(1899, 5, 1, 10)} and ts.read_notation("2101-01-01T00:00:00Z") == {"utc": us(2101, 1, 1)}
+    assert ts.read_notation(" " * 200 + "2024-01-01T00:00:00Z" + "\u3000" * 90) == {"utc": us(2024, 1, 1)}
+    assert ts.read_notation("2024-01-01 10:00" + " " * 100 + "Europe/Berlin") == {"wall": us(2024, 1, 1, 10), "zone": "Europe/Berlin"}
 
 
 def test_entries(spark):
@@ -103,4 +135,4 @@ def test_entries(spark):
 def test_changes_that_undo_each_other_within_weeks(zone, at):
     wall = us(*at)
     want = datetime(*at, tzinfo=zoneinfo.ZoneInfo(zone)).utcoffset()
-    assert [timedelta(microseconds=o) for _, lo, hi, o, _ in ts._transitions([zone]) if lo <= wall < hi] == [want]
+    assert [timedelta(seconds=o) for lo, hi, o in ts._constant_offsets(zone) if lo + o <= wall / 1e6 < hi + o] == [want]
