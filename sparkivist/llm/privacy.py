@@ -1,10 +1,11 @@
 """Personal data in free text: found, checked, scored and replaced by typed placeholders.
 
 Regular expressions propose spans of five kinds with a base score. Validators confirm or refuse
-them by checksum and structure (ISO 7064 mod 11-2 of citizen numbers, mod 97 of national numbers,
-Luhn of card-like numbers, dates, numbering plans). Words close by raise or lower the score; what
-reaches the threshold is kept, the higher score winning where spans overlap. Everything is local
-to a row: a scan and one Arrow map, no shuffle.
+them by checksum and structure (ISO 7064 mod 11-2, mod 97, Luhn and the check digits of further
+national numbers, dates, numbering plans). Words close by raise or lower the score; what reaches
+the threshold is kept, the higher score winning where spans overlap. A name needs no phrase beside
+it: frequent given and family names and its shape are evidence too. Everything is local to a row: a
+scan and one Arrow map, no shuffle.
 """
 
 from __future__ import annotations
@@ -50,6 +51,13 @@ _PHONE = re.compile(
     rf"|(?P<uk>0(?:7\d{{3}}[ -]?\d{{6}}|7\d{{3}} \d{{3}} \d{{3}}|20[ -]\d{{4}}[ -]\d{{4}}|1\d{{3}}[ -]\d{{6}}|1\d1[ -]\d{{3}}[ -]\d{{4}}))"
     rf"|(?P<de>0\d{{2,4}}\s?[/-]\s?\d{{3,8}}(?:-\d{{1,4}})?(?: \d{{2,4}})?)"
     rf"|(?P<land>0\d{{2,3}}-\d{{7,8}})"
+    r"|(?P<fr>0[1-9](?:[ .-]\d{2}){4})"
+    r"|(?P<nl>06[ -]\d{8})"
+    r"|(?P<jp>0(?:[789]0-\d{4}-\d{4}|[36]-\d{4}-\d{4}|10-\d{4}-\d{4}))"
+    r"|(?P<au>04\d{2} \d{3} \d{3}|\(0[2378]\) \d{4} \d{4})"
+    r"|(?P<br>\(\d{2}\) ?9?\d{4}-\d{4})"
+    r"|(?P<ch>0\d{2} \d{3} \d{2} \d{2})"
+    r"|(?P<in>[6-9]\d{4}[ -]\d{5})"
     rf"|(?P<intl>\(?(?:\+|00)[1-9]\d{{0,2}}\)?(?:[ ./-]?\(?\d{{1,5}}\)?){{2,6}})"
     r")(?![A-Za-z0-9_@]|[-.,/:]\d)"
 )
@@ -59,6 +67,11 @@ _ID = re.compile(
     r"(?P<cn>\d{6}[ -]?(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ -]?\d{3}[\dXx])"
     r"|(?P<ssn>\d{3}(?P<sep>[ -])\d{2}(?P=sep)\d{4})"
     r"|(?P<nir>[12]\s?\d{2}\s?(?:0[1-9]|1[0-2])\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2})"
+    r"|(?P<sin>\d{3}[ -]\d{3}[ -]\d{3})"
+    r"|(?P<se>(?:19|20)?\d{6}[-+]\d{4})"
+    r"|(?P<cpf>\d{3}\.\d{3}\.\d{3}-\d{2})"
+    r"|(?P<dni>\d{8}-?[A-HJ-NP-TV-Z])"
+    r"|(?P<pesel>\d{11})"
     r")(?![A-Za-z0-9_@]|[-./]\d)"
 )
 _INSURANCE = re.compile(r"\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d](?![A-Za-z0-9_@])")
@@ -79,8 +92,12 @@ _ROAD = re.compile(
     rf"\d{{1,5}}[A-Za-z]?,?\s(?:(?:North|South|East|West|N|S|E|W)\.?\s)?(?:(?!(?i:to|of|at|from|and|the|in|on|for)\b)[A-ZÄÖÜ][\w'-]+\s){{1,3}}(?i:{_ROAD_WORD})\b\.?(?:,?\s(?:Apt|Unit|Suite|Flat)\.?\s?\d+[A-Za-z]?)?{_TOWN}?"
 )
 _ROAD_HEAD = re.compile(r"(?:Unit|Flat|Apt|Apartment|Suite)\.?\s?\d+[A-Za-z]?,?\s$", re.I)
+_STREET_FIRST = re.compile(
+    r"\d{1,4}(?:\s?(?:bis|ter))?,?\s(?i:rue|avenue|boulevard|impasse|allée|chemin|quai|cours)\s(?:(?:de|du|des|la|le|les)\s|d['’]|l['’])*[A-ZÀ-Ü][\w'’-]+(?:[\s-][A-ZÀ-Ü][\w'’-]+)?"
+    r"|(?:Calle|Avenida|Plaza|Paseo|Via|Viale|Corso|Piazza|Rua|Travessa)\s(?:(?:de|del|la|las|los|da|do|dos|di|della)\s)*[A-ZÀ-Ü][\w'’-]+(?:\s[A-ZÀ-Ü][\w'’-]+)?,?\s(?:n\.?º?\s?)?\d{1,4}\b(?!\s?%)"
+)
 _HOUSE = re.compile(r"\s{1,2}\d{1,4}\s?[a-hA-H]?\b(?!\s?(?:Uhr|km|%))(?:,?\s\d{5}\s[^\W\d_][\w-]+)?")
-_STRASSE_HEAD = re.compile(r"(?<![\w-])[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|ring|damm|chaussee)$", re.I)
+_STRASSE_HEAD = re.compile(r"(?<![\w-])[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|ring|damm|chaussee|straat|laan|gracht|gatan|vägen|gade|veien)$", re.I)
 # ---------------------------------------------------------------- names
 # Frequent Chinese family names, titles, and words that stand before or after a person's name.
 SURNAMES = (
@@ -93,6 +110,24 @@ _HAN_NAME = re.compile(rf"(?P<name>{_HAN_SURNAME}[一-鿿]{{0,2}}?)(?P<title>{_H
 _HAN_CUE = re.compile(
     r"(?:联系人(?:是|为)?[:：]?|签收人(?:写的)?(?:是|为)?[:：]?|收[件货]人(?:是|为)?[:：]?|预约的是|预约人[:：]?|的?事问|认识了|我叫|姓名(?:是|为)?[:：]?|名字(?:是|叫)|(?P<weak>认识|我是|名叫|找|问|请|感谢|谢谢|多亏))\s?$"
 )
+# Frequent given names in Latin script, frequent family names, and characters of Chinese given names.
+GIVEN = frozenset(
+    "Adam Alan Albert Alexander Alice Amanda Amy Andrea Andrew Angela Ann Anna Anne Anthony Antonio Barbara Benjamin Brian Carl Carlos Carol Caroline Catherine Charles Charlotte Christian Christina Christine Christopher Clara Claire Claudia Daniel David "
+    "Deborah Diana Dieter Dorothy Edward Elena Elizabeth Ella Emily Emma Eric Erik Eva Felix Francesca Francis Frank Franz Gabriel George Giulia Grace Greta Hannah Hans Harry Heinrich Helen Helena Henry Hugo Ian Ingrid Isabel Jack Jacob James Jan Jane Janet "
+    "Jason Jean Jennifer Jessica Joan Johan Johanna John Jonas Jonathan Jose Joseph Juan Judith Julia Julian Jürgen Karen Karin Karl Katharina Katherine Keith Kevin Klaus Kurt Lars Laura Lena Leo Linda Lisa Louis Louise Lucas Lucy Luis Luisa Lukas Magdalena "
+    "Maria Marie Mark Markus Martha Martin Mary Matthew Max Michael Miguel Monika Nicholas Nicole Nina Nora Olivia Oliver Oscar Pablo Patricia Patrick Paul Paula Peter Philip Pierre Rachel Rebecca Richard Robert Rosa Ruth Samuel Sandra Sarah Simon Sofia "
+    "Sophie Stefan Stephen Susan Teresa Thomas Ursula Victoria Walter Werner William Wolfgang".split()
+)
+FAMILY = frozenset(
+    "Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Thomas Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Torres Nguyen Hill Flores "
+    "Green Adams Nelson Baker Hall Rivera Campbell Mitchell Carter Roberts Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Braun Krüger Hofmann Lange Werner Krause "
+    "Lehmann Dubois Bernard Moreau Laurent Rossi Russo Ferrari Esposito Bianchi Silva Santos Ferreira Pereira Oliveira Costa Jensen Nielsen Hansen Larsen Olsen Johansson Andersson Karlsson Nilsson Lindqvist Whitfield Kowalski Novak Kim Park Singh Patel Kumar".split()
+)
+_HAN_GIVEN = frozenset("伟芳娜敏静丽强磊军洋勇艳杰娟涛超秀霞平刚桂英华玉兰建国志文明红霖婷雪琳倩颖洁莉萍玲慧晨宇浩轩梓涵欣怡俊峰鹏飞鑫波斌辉凯旭彬宁健嘉豪思琪雅诗佳琦")
+_HAN_BARE = re.compile(rf"(?:^|(?<=[，。；、！？!?,.;\n“「：:]))\s?(?P<name>{_HAN_SURNAME}[一-鿿]{{1,2}}?)(?=(?:昨天|今天|前天|昨晚|刚才|上周|后来)?(?:又|也|就|还|都)?(?:来过|来了|打来|打电话|告诉|说过|说她|说他|说要|答应|借走|送来|寄来|问我|帮我|约我|找我|请我|昨天|今天|前天|昨晚))")
+_KIN = re.compile(r"\b(?:sister|brother|mother|father|aunt|uncle|cousin|friend|neighbou?r|colleague|boss|teacher|doctor|wife|husband|daughter|son|niece|nephew|grandmother|grandfather|nurse|landlord|schwester|bruder|freundin?|nachbarin?|kollegin?|chefin?|tante|onkel)\s$", re.I)
+_DEED = re.compile(r"(?:['’]s\b)?,?\s(?:came|comes|said|says|called|calls|wrote|writes|told|asked|asks|visited|lives|lived|moved|brought|gave|sent|phoned|answered|invited|promised|thinks|thought|works|worked|kam|sagte|schrieb|rief|wohnt|brachte|fragte)\b")
+_TO_PLACE = re.compile(r"\b(?:in|at|near|through|across|around|towards?|nach|bei|in der|im)\s$", re.I)
 _COMPOUND = ("欧阳", "司徒", "司马", "诸葛", "上官", "皇甫", "令狐", "慕容", "东方", "尉迟", "夏侯", "公孙")
 _CAP = r"(?:(?:[A-ZÄÖÜ]['’])?[A-ZÄÖÜ][a-zäöüßéèáó]+(?:-[A-ZÄÖÜ][a-zäöüßéèáó]+)?|[A-ZÄÖÜ]{2,}(?:['’-][A-ZÄÖÜ]+)?|[A-ZÄÖÜ]['’][A-ZÄÖÜ]{2,})"
 _FULL = rf"(?:{_CAP},\s{_CAP}|{_CAP}(?:\s[A-Z]\.)?(?:\s(?:van|von|de|der|la))?\s{_CAP})"
@@ -110,7 +145,7 @@ _NOT_PERSON = re.compile(r"\b(?:Museum|Station|Street|Road|Avenue|Lane|Court|Blv
 
 _CONTEXT = {
     "phone": (re.compile(r"\b(?:call|phone|tel|telephone|mobile|cell|text|sms|number is|direct|machine|telefon|handy|anruf|ruf)\b|电话|手机|短信|致电|打", re.I), re.compile(r"\b(?:order|isbn|invoice|tracking|serial|version|build|section|ticket|parcel no)\b|订单|单号|流水|编号|版本|坐标", re.I)),
-    "id_number": (re.compile(r"\b(?:ssn|social|national id|id|insurance|ni number|passport|form|identity|personalausweis|reisepass)\b|身份证|证件|护照|办手续|表上填", re.I), re.compile(r"\b(?:order|isbn|invoice|tracking|serial|not a person|ticket)\b|订单|单号|流水|不是证件|编号", re.I)),
+    "id_number": (re.compile(r"\b(?:ssn|social|national id|id|insurance|ni number|passport|form|identity|sin|personnummer|pesel|dni|cpf|tax id|personalausweis|reisepass)\b|身份证|证件|护照|办手续|表上填", re.I), re.compile(r"\b(?:order|isbn|invoice|tracking|serial|not a person|ticket)\b|订单|单号|流水|不是证件|编号", re.I)),
 }
 
 
@@ -149,7 +184,8 @@ def _score_phone(m: re.Match) -> float:
     bare = m.group().isdigit()
     if kind == "cn":
         return 0.6 if bare else 0.75
-    return {"us": 0.65, "uk": 0.6, "de": 0.45, "land": 0.6}[kind] - 0.2 * bare
+    # A pattern of two long groups only (in) needs a word beside it.
+    return {"us": 0.65, "uk": 0.6, "de": 0.45, "land": 0.6, "fr": 0.6, "nl": 0.55, "jp": 0.6, "au": 0.6, "br": 0.6, "ch": 0.55, "in": 0.35}[kind] - 0.2 * bare
 
 
 def _score_id(m: re.Match) -> float:
@@ -159,7 +195,36 @@ def _score_id(m: re.Match) -> float:
         return 0.8 if _real_date(digits[6:14]) and mod_11_2(digits) else 0.0
     if kind == "ssn":
         return 0.55 if digits[3:5] != "00" and digits[5:] != "0000" and digits[:3] not in ("000", "666") else 0.0
-    return 0.6 if mod_97(digits) else 0.0
+    if kind == "nir":
+        return 0.6 if mod_97(digits) else 0.0
+    # The check digits of these leave one number in ten or so, hence a word must stand beside most of them.
+    if kind == "sin":
+        return 0.35 if luhn(digits) else 0.0
+    if kind == "se":
+        ten = re.sub(r"\D", "", digits)[-10:]
+        return 0.55 if luhn(ten) and _real_date("19" + ten[:6]) else 0.0
+    if kind == "cpf":
+        return 0.7 if cpf(re.sub(r"\D", "", digits)) else 0.0
+    if kind == "dni":
+        return 0.4 if "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits[:8]) % 23] == digits[-1] else 0.0
+    return 0.35 if pesel(digits) else 0.0
+
+
+def cpf(digits: str) -> bool:
+    """Both check digits of a Brazilian taxpayer number."""
+    for n in (9, 10):
+        rest = sum(int(c) * (n + 1 - i) for i, c in enumerate(digits[:n])) * 10 % 11 % 10
+        if rest != int(digits[n]):
+            return False
+    return len(set(digits)) > 1
+
+
+def pesel(digits: str) -> bool:
+    """Birth date, its century in the month, and check digit of a Polish national number."""
+    month = int(digits[2:4])
+    century = {0: "19", 1: "20", 2: "21", 3: "22", 4: "18"}[month // 20]
+    check = -sum(int(c) * (1, 3, 7, 9)[i % 4] for i, c in enumerate(digits[:10])) % 10
+    return check == int(digits[10]) and _real_date(f"{century}{digits[:2]}{month % 20:02}{digits[4:6]}")
 
 
 def _in_context(t: str, start: int, end: int, kind: str, score: float) -> tuple[float, int, int, str]:
@@ -199,6 +264,9 @@ def _addresses(t: str) -> Iterator[tuple[float, int, int, str]]:
         if not before or not (before[-1].isalnum() or before[-1] in ".,-/" or re.search(r"\bBus\s$", before)):
             h = _ROAD_HEAD.search(before)
             yield 0.7, m.start() - (len(h.group()) if h else 0), m.end(), "address"
+    for m in _STREET_FIRST.finditer(t):
+        if not m.start() or not (t[m.start() - 1].isalnum() or t[m.start() - 1] in ".,-/@#"):
+            yield 0.7, m.start(), m.end(), "address"
     for m in _HOUSE.finditer(t):
         if h := _STRASSE_HEAD.search(t[max(0, m.start() - 32) : m.start()]):
             yield 0.7, m.start() - len(h.group()), m.end(), "address"
@@ -214,6 +282,10 @@ def _names(t: str) -> Iterator[tuple[float, int, int, str]]:
             given = len(name) - (2 if name[:2] in _COMPOUND else 1)
             score = 0.1 + 0.5 * bool(cue and (given or title)) + 0.45 * bool(title) - 0.15 * bool(cue and cue["weak"] and not title)
             yield score, m.start("name"), m.end("title") if title else m.end("name"), "name"
+        for m in _HAN_BARE.finditer(t):
+            given = m["name"][2 if m["name"][:2] in _COMPOUND else 1 :]
+            if given and all(c in _HAN_GIVEN for c in given):
+                yield 0.55, m.start("name"), m.end("name"), "name"
     for c in _CAPITALS.finditer(t):
         before = t[max(0, c.start() - 24) : c.start()]
         if before and (before[-1].isalnum() or before[-1] in "_'’-@./"):
@@ -223,6 +295,15 @@ def _names(t: str) -> Iterator[tuple[float, int, int, str]]:
             continue
         if m["titled"] or _CUE.search(before) or _NAME_AFTER.match(t, m.end()):
             yield 0.75, m.start(), m.end(), "name"
+            continue
+        words = [w for w in re.split(r"[\s,.]+", m["full"]) if len(w) > 1 and w[0].isupper()]
+        if len(words) < 2:
+            continue
+        first, last = words[0].capitalize(), words[-1].capitalize()
+        score = 0.35 * (first in GIVEN) + 0.3 * (last in FAMILY) + 0.15 * bool(re.search(r"\s[A-Z]\.\s", m["full"]))
+        if score:  # context alone is no evidence
+            score += 0.25 * bool(_KIN.search(before)) + 0.25 * bool(_DEED.match(t, m.end())) - 0.3 * bool(_TO_PLACE.search(before))
+            yield score, m.start(), m.end(), "name"
 
 
 def _spans(text: str) -> Iterator[tuple[float, int, int, str]]:

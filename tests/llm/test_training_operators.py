@@ -165,6 +165,40 @@ def test_kinds(text, kinds):
     assert {k for _, _, k in privacy.find_personal_data(text)} == kinds
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("Anna Lindqvist came over with a cake.", {"name"}),
+        ("My sister Clara Whitfield has the other key.", {"name"}),
+        ("Then Peter Hofmann told us the rest.", {"name"}),
+        ("张伟昨天来过我家", {"name"}),
+        ("她笑了。李静告诉我们别等", {"name"}),
+        ("Ring me: 06 12 34 56 78 after six", {"phone"}),
+        ("01 42 68 53 00 is the shop", {"phone"}),
+        ("mobile 0412 345 678 or (02) 9876 5432", {"phone"}),
+        ("tel 090-1234-5678", {"phone"}),
+        ("call 98765 43210", {"phone"}),
+        ("We met at 12 rue de Rivoli.", {"address"}),
+        ("Calle Mayor 15 is closed", {"address"}),
+        ("Via Garibaldi 7, second floor", {"address"}),
+        ("Prinsengracht 263 again", {"address"}),
+        ("my SIN is 046 454 286", {"id_number"}),
+        ("personnummer 811228-9874", {"id_number"}),
+        ("CPF 529.982.247-25", {"id_number"}),
+        ("DNI 12345678Z", {"id_number"}),
+        ("PESEL 44051401359", {"id_number"}),
+        ("parcel 046 454 286 has left", set()),
+        ("CPF 529.982.247-26", set()),
+        ("We walked through Victoria Park and saw Mary Bridge.", set()),
+        ("They live in Santa Maria now. Winter Solstice came early.", set()),
+        ("周末昨天就过去了。高兴说要去", set()),
+        ("see chapters 12 345 678", set()),
+    ],
+)
+def test_kinds_in_texts_of_other_make(text, kinds):
+    assert {k for _, _, k in privacy.find_personal_data(text)} == kinds
+
+
 def test_redaction_changes_nothing_else(spark):
     t = "Ask Ilse Duvalle about 1466 Pinewick Rd. or ilse@example.com，电话15400019453。"
     assert privacy.redact(t) == "Ask [NAME] about [ADDRESS] or [EMAIL]，电话[PHONE]。"
