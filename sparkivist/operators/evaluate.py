@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkivist.operators.ranking import running_total
+
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row: auc (null if a class is empty), positives, negatives; ties count half.
 
-    Rows are first counted by distinct score, which bounds the window's input by the number of
-    scores; the pairs below each score are then a running sum. Null scores or labels are left out.
+    Rows are first counted by distinct score; the pairs below each score are then a running sum
+    over ranges of scores. Null scores or labels are left out.
     """
     by = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    by = running_total(by, "n", F.asc("s"))
+    below = F.col("running") - F.col("n")
     won = by.withColumn("won", F.col("p") * (below + F.col("n") / 2))
     return won.agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(
         F.when((F.col("p") > 0) & (F.col("n") > 0), F.round(F.col("w") / (F.col("p") * F.col("n")), 6)).alias("auc"), F.coalesce("p", F.lit(0)).cast("long").alias("positives"), F.coalesce("n", F.lit(0)).cast("long").alias("negatives")
@@ -32,15 +34,22 @@ def sweep(rows: DataFrame, score: str, label: str, thresholds: list[float]) -> D
     return x.select("threshold", "kept", "relevant", F.round(F.when(F.col("kept") > 0, F.col("relevant") / F.col("kept")), 6).alias("precision"), F.round(F.when(F.col("all_relevant") > 0, F.col("relevant") / F.col("all_relevant")), 6).alias("retention"))
 
 
-def nearest_rank(rows: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame:
-    """(by, percent, value): the value at place ceil(q n / 100), from 1.
+def _placed(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, v, c, upto, n): counted values of each group with the rows up to them and in all.
 
-    Values are counted first, so a hot group weighs as many rows as it has distinct values.
+    The running count goes over ranges of (by, value), so that neither a hot group nor one with
+    many different values comes into one task.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(by).orderBy("v")
-    run = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(W.partitionBy(by)))
-    hit = run.select(by, "v", "upto", "c", "n", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    run = running_total(counted, "c", F.asc_nulls_first(by), F.asc("v"))
+    ends = run.groupBy(F.col(by).alias("_by")).agg(F.sum("c").alias("n"), F.max("running").alias("_to"))
+    j = run.join(ends, F.col(by).eqNullSafe(F.col("_by")))
+    return j.select(by, "v", "c", (F.col("running") - F.col("_to") + F.col("n")).alias("upto"), "n")
+
+
+def nearest_rank(rows: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame:
+    """(by, percent, value): the value at place ceil(q n / 100), from 1."""
+    hit = _placed(rows, by, value).withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
     place = F.greatest(F.ceil(F.col("percent") * F.col("n") / 100.0), F.lit(1))
     return hit.where((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(by, "percent", F.col("v").alias("value"))
 
@@ -62,8 +71,5 @@ def recall_and_mrr(ranked: DataFrame, gold: DataFrame, n: int) -> DataFrame:
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, median): the value at place n // 2 + 1, without interpolation."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(by).orderBy("v")
-    run = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(W.partitionBy(by)))
     place = F.floor(F.col("n") / 2) + 1
-    return run.where((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(by, F.col("v").alias("median"))
+    return _placed(rows, by, value).where((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(by, F.col("v").alias("median"))

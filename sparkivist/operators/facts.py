@@ -25,16 +25,17 @@ def near_dup_fact_pairs(facts: DataFrame, floor: float = OVERLAP_FLOOR) -> DataF
     """(fact_a, fact_b, overlap), a < b: facts of one written or event day whose bigram sets overlap by at least ``floor``.
 
     The overlap is the intersection over the smaller set. A shared day and a shared token of a
-    prefix make a candidate: of the sets in a day's global token order, an overlap of floor x the
+    prefix make a candidate: of the sets in one global token order, rarest first, an overlap of floor x the
     smaller size must show in its first size - ceil(floor x size) + 1 tokens, so only prefixes of
     the one are joined with the tokens of the other.
     """
     sets = facts.select("fact_id", "written", "event_date", F.array_sort(T.ngram_set("fact")).alias("s")).where(F.size("s") > 0)
     days = sets.select("fact_id", "s", F.explode(F.array_distinct(F.filter(F.array("written", "event_date"), lambda d: d.isNotNull()))).alias("day"))
     size = F.size("s")
-    # The smaller set's prefix meets any token of the larger; md5 makes the order independent of frequency runs.
-    keyed = F.transform("s", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))
-    days = days.withColumn("o", F.transform(F.array_sort(keyed), lambda x: x["t"]))
+    # The smaller set's prefix meets any token of the larger; the rarest tokens of the table come first in it.
+    tokens = sets.select("fact_id", F.explode("s").alias("t"))
+    rare = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("o"))
+    days = days.join(rare, "fact_id")
     prefix = days.select("day", F.col("fact_id").alias("p"), size.alias("pn"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * floor) + 1).cast("int"))).alias("t"))
     full = days.select("day", F.col("fact_id").alias("q"), size.alias("qn"), F.explode("s").alias("t"))
     pairs = prefix.join(full, ["day", "t"]).where((F.col("p") != F.col("q")) & ((F.col("pn") < F.col("qn")) | (F.col("pn") == F.col("qn")) & (F.col("p") < F.col("q"))))
@@ -63,7 +64,7 @@ def collapse_near_dups(facts: DataFrame, floor: float = OVERLAP_FLOOR) -> DataFr
     pending = cut_lineage(by_day.select(keeper.alias("keeper"), loser.alias("loser"), time.alias("time")))
     gone = pending.select(F.col("loser").alias("fact_id"), "time").limit(0)
     # An arc acts at its time unless its keeper is gone by then; it waits for earlier arcs that may remove the keeper.
-    for _ in range(64):
+    while True:  # every round fires the earliest open arc at least
         out = gone.groupBy(F.col("fact_id").alias("keeper")).agg(F.min("time").alias("out"))
         alive = pending.join(out, "keeper", "left").where(F.col("out").isNull() | (F.col("time") < F.col("out"))).drop("out")
         threat = alive.groupBy(F.col("loser").alias("keeper")).agg(F.min("time").alias("threat"))

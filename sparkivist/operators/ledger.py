@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkivist.plans.session import cut_lineage
@@ -63,11 +64,16 @@ def chain_violations(ledger: DataFrame, records: DataFrame) -> DataFrame:
 def file_difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """(place, hash, change, n): multi-set difference of two versions; rows: place, hash.
 
-    A text that left one place and entered another is a move; the rest is retired or added.
+    Of the copies of a text that left places and entered others, as many as both sides have are
+    moves, dealt out in order of the places; the rest is retired or added. A row may have both.
     """
     o = old.groupBy("place", "hash").agg(F.count("*").alias("o"))
     n = new.groupBy("place", "hash").agg(F.count("*").alias("n"))
     d = o.join(n, ["place", "hash"], "full").select("place", "hash", (F.coalesce("n", F.lit(0)) - F.coalesce("o", F.lit(0))).alias("delta")).where("delta <> 0")
     both = d.groupBy("hash").agg(F.least(F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0)), F.sum(F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0))).alias("moves"))
-    change = F.when(F.col("moves") > 0, F.when(F.col("delta") > 0, "moved_in").otherwise("moved_out")).when(F.col("delta") > 0, "added").otherwise("retired")
-    return d.join(both, "hash").select("place", "hash", change.alias("change"), F.abs("delta").alias("n"))
+    size = F.abs("delta")
+    before = F.sum(size).over(W.partitionBy("hash", F.col("delta") > 0).orderBy("place").rowsBetween(W.unboundedPreceding, 0)) - size
+    dealt = d.join(both, "hash").withColumn("moved", F.greatest(F.least(F.col("moves") - before, size), F.lit(0)))
+    gained = F.col("delta") > 0
+    parts = F.array(F.struct(F.when(gained, "moved_in").otherwise("moved_out").alias("change"), F.col("moved").alias("n")), F.struct(F.when(gained, "added").otherwise("retired").alias("change"), (size - F.col("moved")).alias("n")))
+    return dealt.select("place", "hash", F.explode(parts).alias("x")).select("place", "hash", "x.change", "x.n").where("n > 0")

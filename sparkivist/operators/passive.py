@@ -61,7 +61,7 @@ def drift(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return j.withColumn("change", change)
 
 
-def conflict_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def conflict_components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of edges (a, b), the least node being the root.
 
     Labels spread along the edges and then jump to their label's label, which shortens long
@@ -70,7 +70,7 @@ def conflict_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
     both = cut_lineage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
         jump = label.select(F.col("node").alias("next"), F.col("root").alias("far"))

@@ -113,6 +113,19 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     return placed.join(F.broadcast(begins), "_part").withColumn("rank0", F.col("_place") + F.col("_begin")).drop("_part", "_place", "_begin")
 
 
+def running_total(df: DataFrame, value: str, *order: Column) -> DataFrame:
+    """Adds ``running``, the sum of ``value`` from the first row in order up to this one, by ranges.
+
+    Each range is summed by itself; what lies before it is the sum of the ranges before, a table as
+    long as there are partitions. The order must be total.
+    """
+    placed = cut_lineage(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    begins = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_begin"))
+    inside = placed.withColumn("_run", F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return inside.join(F.broadcast(begins), F.col("_part") == F.col("_p")).withColumn("running", F.col("_run") + F.col("_begin")).drop("_part", "_p", "_begin", "_run")
+
+
 def fuse(routes: list[tuple[DataFrame, int]], id_col: str = "doc_id") -> DataFrame:
     """(id, fused): summed 1 / (k + rank0 + 1) over routes, each (frame with id and rank0, k)."""
     parts = [r.select(id_col, (1.0 / (F.lit(k) + F.col("rank0") + 1)).alias("part")) for r, k in routes]

@@ -49,16 +49,16 @@ def sized_blocks(rows: DataFrame, by: str, order: str, size: str, ts: str, gap:
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, block, filled, last = object(), 0, 0, None
+        group, block, filled, held, last = object(), 0, 0, False, None
         for f in frames:
             out = []
             for g, n, t in zip(f[by], f[size], f[ts]):
                 if g != group:
-                    group, block, filled, last = g, 0, 0, None
+                    group, block, filled, held, last = g, 0, 0, False, None
                 known = t is not None and t == t
-                if filled and ((known and last is not None and t - last > gap) or filled + n > limit):
+                if held and ((known and last is not None and t - last > gap) or filled + n > limit):
                     block, filled = block + 1, 0
-                filled += n
+                filled, held = filled + n, True
                 last = t if known else last
                 out.append(block)
             yield pd.DataFrame({by: f[by], order: f[order], "block_no": out})
@@ -79,7 +79,6 @@ def day_batches(rows: DataFrame, by: str, day: Column, size: Column, order: list
 
 def interval_coverage(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """(by, covered, pieces): length and number of the intervals after union, by gaps and islands; empty ones are dropped."""
-    w = W.partitionBy(by).orderBy(start, end)
     r = rows.where(F.col(start) < F.col(end)).select(by, F.col(start).alias("s"), F.col(end).alias("e"))
     w = W.partitionBy(by).orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))

@@ -15,10 +15,17 @@ PASS_BYTES = 64 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit rows in double precision; null and zero vectors become zero rows."""
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r), default=1)
-    m = np.array([r if r and len(r) == width else [0.0] * width for r in rows], dtype=np.float64).reshape(len(rows), width)
+    """Unit rows in double precision from the list's flat values; null and zero vectors become zero rows.
+
+    Vectors of different widths in one column are an error.
+    """
+    size = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    widths = np.unique(size[size > 0])
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {widths.tolist()}")
+    m = np.zeros((len(column), int(widths[0]) if len(widths) else 1))
+    if len(widths):
+        m[size > 0] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, widths[0])
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
@@ -52,7 +59,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             for b in batches:
                 if not b.num_rows or not len(qid):
                     continue
-                rid, m = np.array(b.column(0).to_pylist(), dtype=np.int64), _matrix(b.column(1))
+                rid, m = b.column(0).to_numpy(), _matrix(b.column(1))
                 s = np.round(qm @ m.T, 6)
                 if exclude_self:
                     s[qid[:, None] == rid[None, :]] = -np.inf

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from sparkivist.functions.text import query_ngrams
-from sparkivist.operators.gates import CURRENT_TERMS, HISTORY_TERMS, LOW_INFORMATION
+from sparkivist.operators import gates
+from sparkivist.operators.gates import CURRENT_TERMS, GENERIC, HISTORY_TERMS, LOW_INFORMATION
 from sparkivist.plans.queries_records import NOW
 from sparkivist.plans.queries_retrieval import PROBES, QUERY, QUERY_HAN, VARIANT
 from sparkivist.plans.queries_evaluation import THRESHOLDS
@@ -222,11 +223,11 @@ def sql() -> dict[str, str]:
         "chain_violations": """WITH l AS (SELECT hash AS rid, replaced_by AS r FROM retraction_ledger WHERE replaced_by IS NOT NULL)
             SELECT rid, 'dangling' AS code FROM l WHERE NOT EXISTS (SELECT 1 FROM memory_entries WHERE record_id = r) UNION ALL SELECT rid, 'retracted_target' FROM l WHERE r IN (SELECT hash FROM retraction_ledger)
             UNION ALL SELECT rid, 'shared_target' FROM l WHERE r IN (SELECT r FROM l GROUP BY r HAVING count(*) > 1) UNION ALL SELECT rid, 'self_link' FROM l WHERE rid = r""",
-        "file_difference": """WITH e AS (SELECT source_id AS place, record_id AS hash, ingested_at FROM memory_entries WHERE source_id IS NOT NULL AND record_id IS NOT NULL), c AS (SELECT max(ingested_at) - INTERVAL 30 DAY AS t FROM e),
-            o AS (SELECT place, hash, count(*) AS o FROM e, c WHERE ingested_at < t GROUP BY ALL), n AS (SELECT place, hash, count(*) AS n FROM e GROUP BY ALL),
-            d AS (SELECT place, hash, coalesce(n, 0) - coalesce(o, 0) AS delta FROM o FULL JOIN n USING (place, hash) WHERE coalesce(n, 0) <> coalesce(o, 0)),
-            m AS (SELECT hash, least(sum(greatest(delta, 0)), sum(greatest(-delta, 0))) AS moves FROM d GROUP BY hash)
-            SELECT place, hash, CASE WHEN moves > 0 THEN CASE WHEN delta > 0 THEN 'moved_in' ELSE 'moved_out' END WHEN delta > 0 THEN 'added' ELSE 'retired' END AS change, abs(delta)::BIGINT AS n FROM d JOIN m USING (hash)""",
+        "file_difference": """WITH e AS (SELECT source_id AS place, record_id AS hash, coalesce(year(ingested_at) >= 2025, false) AS late FROM memory_entries WHERE source_id IS NOT NULL AND record_id IS NOT NULL AND ingested_at IS NOT NULL),
+            d AS (SELECT place, hash, count(*) FILTER (late) - count(*) FILTER (NOT late) AS delta FROM e GROUP BY ALL HAVING count(*) FILTER (late) <> count(*) FILTER (NOT late)),
+            u AS (SELECT place, hash, delta > 0 AS gained, unnest(range(1, abs(delta) + 1)) AS copy FROM d),
+            r AS (SELECT *, row_number() OVER (PARTITION BY hash, gained ORDER BY place, copy) AS no, count(*) OVER (PARTITION BY hash, gained) AS mine, count(*) OVER (PARTITION BY hash) AS both_ FROM u)
+            SELECT place, hash, CASE WHEN no <= least(mine, both_ - mine) THEN CASE WHEN gained THEN 'moved_in' ELSE 'moved_out' END WHEN gained THEN 'added' ELSE 'retired' END AS change, count(*) AS n FROM r GROUP BY ALL""",
         "session_gap": """SELECT event_id, user_id, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM (
             SELECT event_id, user_id, ts, CASE WHEN epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 > 1800 THEN 1 ELSE 0 END AS brk FROM events)""",
         "session_summary": """WITH s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM (
@@ -239,10 +240,11 @@ def sql() -> dict[str, str]:
             SELECT source_id, day, count(*) FILTER (total <= 30000 OR f) AS in_batch, count(*) FILTER (NOT (total <= 30000 OR f)) AS left_over, sum(CASE WHEN total <= 30000 OR f THEN n ELSE 0 END)::BIGINT AS chars FROM s GROUP BY ALL""",
         "import_statistics": "SELECT source_id, count(*) AS rows, count(DISTINCT entry_id) AS entries, count(DISTINCT speaker) AS speakers, count(*) FILTER (lower(trim(timestamp_source)) = 'mtime') AS mtime_rows, count(timestamp) AS timed FROM memory_entries GROUP BY source_id",
         "entry_turns": "SELECT kind, speaker, count(*) AS n FROM (SELECT DISTINCT entry_id, speaker, coalesce(tags[1], 'none') AS kind FROM memory_entries WHERE trim(coalesce(speaker, '')) <> '' AND text IS NOT NULL) GROUP BY ALL",
-        "input_gate": rf"""WITH m AS (SELECT row_id, regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM archive_msgs WHERE lower(trim(role)) IN ('user', 'human')), c AS (SELECT *, regexp_replace(lower(t), '[^\pL\pN_]', '', 'g') AS k FROM m),
+        "input_gate": rf"""WITH m AS (SELECT row_id, regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM archive_msgs WHERE lower(trim(role)) IN ('user', 'human')), w AS (SELECT *, translate(t, {_lit(gates._WIDE)}, {_lit(gates._NARROW)}) AS h FROM m),
+            c AS (SELECT *, regexp_replace(lower(h), '[^\pL\pN_]', '', 'g') AS k, len(list_filter(regexp_extract_all(lower(h), '\p{{Han}}{{2,}}|[a-z0-9]{{3,}}'), lambda x: NOT list_contains({_list(GENERIC)}, x))) AS topics FROM w),
             r AS (SELECT row_id, CASE WHEN k = '' THEN 'low_information' WHEN regexp_matches(t, '^/[A-Za-z][A-Za-z0-9_-]*(\s[^\n]*)?$') THEN 'control_command'
               WHEN regexp_matches(t, '^("(?s:.*)"|“(?s:.*)”|「(?s:.*)」|```(?s:.*)```)$') OR (starts_with(t, '>') AND NOT regexp_matches(t, '(?m)^[^>\n]')) THEN 'quoted_or_code_only'
-              WHEN k = '嗯' THEN 'licensed_short_trigger' WHEN list_contains({_list(LOW_INFORMATION)}, k) OR length(k) < 4 THEN 'low_information' ELSE 'specific_user_signal' END AS reason FROM c)
+              WHEN k = '嗯' THEN 'licensed_short_trigger' WHEN list_contains({_list(re.sub(r'\W', '', x.lower()) for x in LOW_INFORMATION)}, k) OR topics = 0 THEN 'low_information' ELSE 'specific_user_signal' END AS reason FROM c)
             SELECT row_id, reason IN ('licensed_short_trigger', 'specific_user_signal') AS admit, reason FROM r""",
         "message_intent": f"""SELECT CASE WHEN list_bool_or(list_transform({_list(HISTORY_TERMS)}, lambda x: contains(t, x))) THEN 'history' WHEN list_bool_or(list_transform({_list(CURRENT_TERMS)}, lambda x: contains(t, x))) THEN 'current' ELSE 'none' END AS intent, count(*) AS n
             FROM (SELECT lower(coalesce(text, '')) AS t FROM archive_msgs) GROUP BY intent""",
@@ -266,7 +268,7 @@ def sql() -> dict[str, str]:
         "latest_by_user": "SELECT user_id, arg_max(event_id, {'ts': ts, 'id': event_id}) AS event_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS event_type FROM events GROUP BY user_id",
         "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity::DOUBLE), 2) AS sum_qty, round(sum(l_extendedprice::DOUBLE), 2) AS sum_price, count(*) AS n FROM lineitem GROUP BY ALL",
         "transcript": f"""WITH m AS (SELECT *, {_EPOCH} AS t FROM archive_msgs), x AS (SELECT conv_key, row_id, round(t, 3) AS t, strftime(make_timestamp((t * 1e6)::BIGINT), '%Y-%m-%d') AS day, '[' || strftime(make_timestamp((t * 1e6)::BIGINT), '%H:%M') || '] ' || coalesce(role, '') || '：' || text AS line FROM m WHERE t IS NOT NULL AND text IS NOT NULL)
-            SELECT conv_key, day, md5(string_agg(line, chr(10) ORDER BY t, row_id)) AS hash, count(*) AS lines FROM x GROUP BY ALL""",
+            SELECT conv_key, day, row_number() OVER (PARTITION BY conv_key, day ORDER BY t, row_id) AS line_no, md5(line) AS hash FROM x""",
         "auc_rank_sum": f"""WITH {_NEAR.format(k=11)} SELECT round(sum(CASE WHEN a.cosine > b.cosine THEN 1.0 WHEN a.cosine = b.cosine THEN 0.5 ELSE 0.0 END)::DOUBLE / count(*), 6) AS auc, (SELECT count(*) FROM near WHERE relevant) AS positives, (SELECT count(*) FROM near WHERE NOT relevant) AS negatives
             FROM near a, near b WHERE a.relevant AND NOT b.relevant""",
         "auc_event_values": """WITH p AS (SELECT event_type = 'click' AS c, count(*) OVER (ORDER BY value) AS upto, count(*) OVER (PARTITION BY value) AS same FROM events WHERE value IS NOT NULL), r AS (SELECT c, upto - (same - 1) / 2.0 AS rank FROM p)

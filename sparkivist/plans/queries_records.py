@@ -69,10 +69,10 @@ def chain_violations(spark, d):
 
 
 def file_difference(spark, d):
-    """Records by source before and after the last month of imports."""
+    """Records by source in the imports before 2025 and since: what was retired, added or moved between the two."""
     e = table(spark, d, "memory_entries").where("source_id IS NOT NULL AND record_id IS NOT NULL").select(F.col("source_id").alias("place"), F.col("record_id").alias("hash"), "ingested_at")
-    cut = e.agg(F.max("ingested_at") - F.expr("INTERVAL 30 DAYS")).scalar()
-    return ledger.file_difference(e.where(F.col("ingested_at") < cut), e)
+    late = F.year("ingested_at") >= 2025
+    return ledger.file_difference(e.where(~late), e.where(late))
 
 
 def session_gap(spark, d):
@@ -186,7 +186,7 @@ def json_props(spark, d):
 
 
 def interval_coverage(spark, d):
-    """Days on which a part's order is between its ship and receipt date, overlaps counted once."""
+    """Days that a supplier's lines cover, each from its ship date for one day and one more per line number, overlaps counted once."""
     line = table(spark, d, "lineitem").select("l_suppkey", F.datediff("l_shipdate", F.lit("1970-01-01")).alias("s"), (F.datediff("l_shipdate", F.lit("1970-01-01")) + 1 + F.col("l_linenumber")).alias("e"))
     return sessions.interval_coverage(line, "l_suppkey", "s", "e")
 
@@ -206,12 +206,12 @@ def pricing_summary(spark, d):
 
 
 def transcript(spark, d):
-    """One text per log and day: [HH:MM] role: text, as a digest."""
+    """The lines of each conversation and day, [HH:MM] role: text, in order, each as a digest."""
     m = table(spark, d, "archive_msgs").withColumn("t", sessions.epoch_seconds(F.col("epoch"))).where("t IS NOT NULL AND text IS NOT NULL")
     ts = F.timestamp_micros((F.col("t") * 1e6).cast("long"))
     line = F.concat(F.lit("["), F.date_format(ts, "HH:mm"), F.lit("] "), F.coalesce("role", F.lit("")), F.lit("："), F.col("text"))
-    g = m.select("conv_key", F.date_format(ts, "yyyy-MM-dd").alias("day"), F.struct(F.round("t", 3).alias("t"), F.col("row_id"), line.alias("line")).alias("x"))
-    return g.groupBy("conv_key", "day").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")).alias("hash"), F.count("*").alias("lines"))
+    g = m.select("conv_key", F.date_format(ts, "yyyy-MM-dd").alias("day"), F.round("t", 3).alias("t"), "row_id", F.md5(line).alias("hash"))
+    return g.withColumn("line_no", F.row_number().over(W.partitionBy("conv_key", "day").orderBy("t", "row_id")).cast("long")).select("conv_key", "day", "line_no", "hash")
 
 
 def topic_coverage(spark, d):
