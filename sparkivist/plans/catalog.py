@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkivist.plans import oracles, queries_evaluation, queries_records, queries_retrieval
+from sparkivist.plans import oracles, queries_evaluation, queries_records, queries_retrieval, queries_state
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**queries_retrieval.QUERIES, **queries_records.QUERIES, **queries_evaluation.QUERIES}
+    return {**queries_retrieval.QUERIES, **queries_records.QUERIES, **queries_evaluation.QUERIES, **queries_state.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

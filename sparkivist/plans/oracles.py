@@ -7,6 +7,7 @@ import re
 from sparkivist.functions.text import query_ngrams
 from sparkivist.operators import gates
 from sparkivist.operators.gates import CURRENT_TERMS, GENERIC, HISTORY_TERMS, LOW_INFORMATION
+from sparkivist.plans import oracles_folds
 from sparkivist.plans.queries_records import NOW
 from sparkivist.plans.queries_retrieval import PROBES, QUERY, QUERY_HAN, VARIANT
 from sparkivist.plans.queries_evaluation import THRESHOLDS
@@ -290,7 +291,7 @@ def sql() -> dict[str, str]:
     role = "CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'model') THEN 'assistant' END"
     spoken = f"sp AS (SELECT conv_key, key, row_id, {role} AS role, round({_EPOCH}, 3) AS at_, length(coalesce(text, '')) AS chars FROM archive_msgs)"
     hits = " + ".join(f"({_contains(t)})::INT" for t in ("winter trip", "cat", "garden wall"))
-    return out | {
+    out |= {
         "topic_coverage": f"SELECT doc_id, hits, round(hits / 3.0, 6)::DOUBLE AS coverage FROM (SELECT doc_id, {hits} AS hits FROM documents) WHERE hits > 0 AND hits / 3.0 >= 0.6",
         "delivery_budget": """WITH one AS (SELECT record_id, max(strlen(text)) AS bytes FROM memory_entries WHERE text IS NOT NULL GROUP BY record_id),
             r AS (SELECT recall_id, unnest(range(0, len(recall))) AS pos, recall FROM recall_log),
@@ -308,3 +309,4 @@ def sql() -> dict[str, str]:
             SELECT node, min(seen) AS root FROM w GROUP BY node""",
         "frequent_strings": """SELECT gram, count(*) AS docs FROM (SELECT rowid_, unnest(list_distinct(list_filter(list_transform(range(1, length(fact) - 2), lambda i: substring(fact, i, 4)), lambda x: regexp_full_match(x, '\\p{Han}{4}')))) AS gram FROM (SELECT row_number() OVER () AS rowid_, fact FROM passive_facts WHERE fact IS NOT NULL)) GROUP BY gram HAVING count(*) >= 3""",
     }
+    return out | oracles_folds.sql(_NEAR, _FACTS, _FACT_SETS)
