@@ -28,10 +28,10 @@ def retraction_plan(records: DataFrame, ledger: DataFrame, quotes: list[tuple[st
 
 
 def followers(docs: DataFrame, retracted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, via): index documents that follow a retracted timeline document of their window and day; retracted: id."""
-    t = docs.where("window_no IS NOT NULL AND local_date IS NOT NULL").select(id_col, "layer", "window_no", "local_date")
-    gone = t.where("layer = 'timeline'").join(retracted.select(id_col).distinct(), id_col, "left_semi").groupBy("window_no", "local_date").agg(F.min(id_col).alias("via"))
-    return t.where("layer = 'index'").join(gone, ["window_no", "local_date"]).select(id_col, "via")
+    """(id, via): index documents that follow a retracted timeline document of their window, and the least such; retracted: id."""
+    t = docs.where("window_no IS NOT NULL").select(id_col, "layer", "window_no")
+    gone = t.where("layer = 'timeline'").join(retracted.select(id_col).distinct(), id_col, "left_semi").groupBy("window_no").agg(F.min(id_col).alias("via"))
+    return t.where("layer = 'index'").join(gone, "window_no").select(id_col, "via")
 
 
 def supersession_plan(records: DataFrame, ledger: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from sparkivist.functions.text import query_ngrams
 from sparkivist.operators import gates
 from sparkivist.operators.gates import CURRENT_TERMS, GENERIC, HISTORY_TERMS, LOW_INFORMATION
-from sparkivist.plans import oracles_folds
+from sparkivist.plans import oracles_folds, oracles_state
 from sparkivist.plans.queries_records import NOW
 from sparkivist.plans.queries_retrieval import PROBES, QUERY, QUERY_HAN, VARIANT
 from sparkivist.plans.queries_evaluation import THRESHOLDS
@@ -309,4 +309,5 @@ def sql() -> dict[str, str]:
             SELECT node, min(seen) AS root FROM w GROUP BY node""",
         "frequent_strings": """SELECT gram, count(*) AS docs FROM (SELECT rowid_, unnest(list_distinct(list_filter(list_transform(range(1, length(fact) - 2), lambda i: substring(fact, i, 4)), lambda x: regexp_full_match(x, '\\p{Han}{4}')))) AS gram FROM (SELECT row_number() OVER () AS rowid_, fact FROM passive_facts WHERE fact IS NOT NULL)) GROUP BY gram HAVING count(*) >= 3""",
     }
-    return out | oracles_folds.sql(_NEAR, _FACTS, _FACT_SETS)
+    out["hybrid_visible"] = oracles_state.visible_only(out["hybrid_retrieve"])
+    return out | oracles_folds.sql(_NEAR, _FACTS, _FACT_SETS) | oracles_state.sql(_TOKS, _bm25, _cosine, _hybrid, _NEAR, _DIST, _CAP64, _contains)

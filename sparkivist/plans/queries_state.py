@@ -282,8 +282,8 @@ def checklist_items(spark, d):
 
 
 def bold_items(spark, d):
-    """Bold phrases of each document, in order, as a digest."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\*\*([^*\n]+)\*\*"), F.lit(1))
+    """Names of the bold items of each document, in order, as a digest."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\*\*([^*:：\n]+)[:：]"), F.lit(1))
     return table(spark, d, "documents").select("doc_id", found.alias("x")).where("size(x) > 0").select("doc_id", F.size("x").alias("items"), F.md5(F.array_join("x", "|")).alias("hash"))
 
 
