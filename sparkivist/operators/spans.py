@@ -132,8 +132,9 @@ def excerpt(docs: DataFrame, term: str, budget: int, id_col: str = "doc_id", tex
         hi, grown = lo + 1, True
         while grown:
             grown = False
-            for a, z in ((lo, hi + 1), (lo - 1, hi)):
-                if 0 <= a and z < len(bounds) and (a, z) != (lo, hi) and len(t[bounds[a] : bounds[z]].encode()) <= budget and a >= lo - 1:
+            for down, up in ((0, 1), (1, 0)):
+                a, z = lo - down, hi + up
+                if 0 <= a and z < len(bounds) and len(t[bounds[a] : bounds[z]].encode()) <= budget:
                     lo, hi, grown = a, z, True
         return t[bounds[lo] : bounds[hi]].strip()
 

@@ -79,7 +79,7 @@ def test_retrieval_hides_and_admits(spark):
     with_floor = {r["doc_id"] for r in ranking.hybrid_retrieve(docs, "zebra", visible=F.col("live"), vectors=scores, floor=0.8).collect()}
     without = {r["doc_id"] for r in ranking.hybrid_retrieve(docs, "zebra", visible=F.col("live"), vectors=scores).collect()}
     assert 52 in with_floor and 51 not in with_floor and 52 not in without
-    assert ranking.hybrid_retrieve(docs, "qqqq").count() == 0 and ranking.hybrid_retrieve(docs.limit(0), "zebra").count() == 0
+    assert ranking.hybrid_retrieve(docs, "jjjj").count() == 0 and ranking.hybrid_retrieve(docs.limit(0), "zebra").count() == 0
 
 
 def test_running_total_over_ranges(spark):
