@@ -13,7 +13,7 @@ def after_cursor(messages: DataFrame, cursor: DataFrame) -> DataFrame:
     A log without a cursor is pending as a whole; messages without a time are not.
     """
     c = cursor.select(F.col("source_id").alias("_s"), "c_at", "c_keys")
-    j = messages.where("at IS NOT NULL").join(F.broadcast(c) if cursor.is_cached else c, F.col("source_id") == F.col("_s"), "left")
+    j = messages.where("at IS NOT NULL").join(c, F.col("source_id") == F.col("_s"), "left")
     fresh = F.col("c_at").isNull() | (F.col("at") > F.col("c_at")) | ((F.col("at") == F.col("c_at")) & ~F.array_contains("c_keys", F.col("key")))
     return j.where(fresh).drop("_s", "c_at", "c_keys")
 
