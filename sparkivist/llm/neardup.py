@@ -6,8 +6,10 @@ pseudo-random permutation of all tokens. Two texts are candidates if they share
 orders; the intersection inside a group is taken in the key by which texts meet. For similarity s a
 group passes with probability s^6, so that of pairs at 0.75 about two in ten thousand escape all
 groups, and of pairs at the threshold of 0.7 four in a thousand, while texts that share a tenth of
-their tokens hardly ever meet. Candidates must then share enough prefix tokens under 32 further
-orders, and what is left is verified exactly on the whole token sets.
+their tokens hardly ever meet. They do meet in a large table, in numbers that grow with its square, so
+every key also carries a sketch, one bit of the prefix tokens of 128 orders: pairs are formed inside a
+task and only those that agree in enough bits leave it. These must then agree in 256 bits, and what is
+left is verified exactly on the whole token sets.
 
 ``exact=True`` misses nothing: prefixes long enough for the threshold under ``EXACT_ORDERS`` orders,
 the first by rarity, intersected before the same verification. Its cost grows with the square of
@@ -16,7 +18,8 @@ the table where tokens are frequent, so it serves small tables and comparisons.
 Equal normalised texts are one node, so copies meet neither in the filters nor in the
 verification. Texts are read twice: for their signatures, and, compressed, for the verification.
 A key's texts come in sorted chunks of ``CHUNK``, so a key that holds a third of all texts is never
-gathered: its chunks meet one another as rows of a join that the engine can split.
+gathered: its chunks meet one another as rows of a join that the engine can split. What copies of a text
+add to the pairs goes straight to the result, without a shuffle or a file of its own.
 """
 
 from __future__ import annotations
@@ -28,18 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkivist.plans.session import cut_lineage, table
+from sparkivist.plans.session import cut_lineage, release, table
 
 RUN = 5
 LEAST_CHARS = 200
 THRESHOLD = 0.7
 FILTERS, ORDERS_PER_FILTER = 44, 6
-#: Further orders, and how many of them must agree; pairs at 0.75 fall short of it with a probability below 1e-6.
-SKETCH, SKETCH_AGREE = 32, 12
-#: Texts of one key that are paired inside a task; and orders of the exact filter.
-CHUNK = 64
+#: Bits of a sketch, each of one order, and how many must agree; at similarity s a bit does with probability (1 + s) / 2,
+#: so that pairs at 0.75 fall short with a probability below 2e-6 and pairs at 0.7 with one of about 1e-4.
+SKETCH, SKETCH_AGREE = 256, 197
+#: The same for the part of the sketch that travels with the keys.
+PART, PART_AGREE = 128, 94
+#: Texts of one key that are paired inside a task, and of them those that are compared with the others at once; and orders of the exact filter.
+CHUNK, BLOCK = 4096, 64
 EXACT_ORDERS = 3
 
 _DELETED = re.compile(r"[\W_]+")
@@ -54,7 +61,7 @@ def _constants(n: int, seed: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-_N_ORDERS = FILTERS * ORDERS_PER_FILTER + SKETCH
+_N_ORDERS = FILTERS * ORDERS_PER_FILTER
 _MULTIPLIERS = _constants(_N_ORDERS, 17)
 
 
@@ -107,6 +114,14 @@ def filter_keys(best: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch_bits(best: np.ndarray) -> np.ndarray:
+    """(texts, SKETCH / 8) bytes of (texts, orders) places: of each of the first orders one bit that depends on all of its place."""
+    x = best[:, :SKETCH]
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return np.packbits((x >> np.uint32(31)).astype(bool), axis=1)
+
+
 def node_id(norm: str) -> int:
     """64-bit id of a normalised text; two in 1e9 texts share one with a probability of three in a hundred."""
     import xxhash
@@ -125,7 +140,7 @@ def _signatures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            ids, nodes, fresh, best, sketches = [], [], [], [], []
+            ids, nodes, fresh, best = [], [], [], []
             for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 n = normalise(t)
                 if len(n) < LEAST_CHARS:
@@ -134,46 +149,54 @@ def _signatures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 ids.append(i), nodes.append(node), fresh.append(node not in seen)
                 if node not in seen:
                     seen.add(node)
-                    places = prefixes(token_stream(n), 0, _N_ORDERS)
-                    best.append(places[: FILTERS * ORDERS_PER_FILTER])
-                    sketches.append((places[FILTERS * ORDERS_PER_FILTER :] & np.uint32(255)).astype(np.uint8).tobytes())
+                    best.append(prefixes(token_stream(n), 0, _N_ORDERS))
             keys = iter([k.tobytes() for k in filter_keys(np.stack(best))] if best else [])
-            drawn = iter(sketches)
+            drawn = iter([x.tobytes() for x in sketch_bits(np.stack(best))] if best else [])
             packed = [next(keys) if f else None for f in fresh]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array([next(drawn) if f else None for f in fresh], pa.binary()), pa.array(packed, pa.binary())], names=["entry_id", "node", "sketch", "keys"])
 
 
 def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, keys, sketch, root) to (key, node, part of the sketch as two integers, root)."""
     for b in batches:
         keys = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), FILTERS))], names=["key", "node"])
+        part = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.int64).reshape(-1, SKETCH // 64)
+        cols = [b.column(0).to_numpy(), *part.T[: PART // 64], *(c.to_numpy() for c in b.columns[3:])]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(c, FILTERS)) for c in cols)], names=["key", "node", "s0", "s1", "root"][: 1 + len(cols)])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(keys, nodes, nodes of the first key before these, first of those nodes) of rows sorted by (key, node).
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, tuple[int, np.ndarray]]]:
+    """(keys, nodes, marks, nodes of the first key before these, first of those nodes with its marks) of rows sorted by (key, node).
 
-    A key that goes on in the next batch is held back up to a multiple of CHUNK; repeats are dropped.
+    marks: (nodes, columns) of the columns after the node. A key that goes on in the next batch is
+    held back up to a multiple of CHUNK; repeats are dropped.
     """
-    held_k, held_n, before, hub = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0, 0
+    held, before, hub = None, 0, (0, np.empty(0, dtype=np.int64))
     for b in _then_none(batches):
         if b is not None:
-            k, n = np.concatenate((held_k, b.column(0).to_numpy())), np.concatenate((held_n, b.column(1).to_numpy()))
+            k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            m = np.empty((len(k), b.num_columns - 2), dtype=np.int64)
+            for i, c in enumerate(b.columns[2:]):
+                m[:, i] = c.to_numpy()
+            k, n, m = (np.concatenate(x) for x in zip(held, (k, n, m))) if held is not None else (k, n, m)
             keep = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1]))) if len(k) else np.empty(0, dtype=bool)
-            k, n = k[keep], n[keep]
+            k, n, m = k[keep], n[keep], m[keep]
             begin = int(np.searchsorted(k, k[-1])) if len(k) else 0  # of the last key, which may go on
             cut = begin + (len(k) - 1 - begin) // CHUNK * CHUNK if len(k) else 0
-            held_k, held_n, k, n = k[cut:], n[cut:], k[:cut], n[:cut]
+            held, k, n, m = (k[cut:], n[cut:], m[cut:]), k[:cut], n[:cut], m[:cut]
+        elif held is not None:
+            (k, n, m), held = held, None
         else:
-            k, n, held_k, held_n = held_k, held_n, held_k[:0], held_n[:0]
+            return
         if len(k):
-            yield k, n, before, hub
-            same = len(held_k) and held_k[0] == k[-1]
+            yield k, n, m, before, hub
+            same = held is not None and len(held[0]) and held[0][0] == k[-1]
             first = int(np.searchsorted(k, k[-1]))
             if same:
-                hub = hub if before and first == 0 else int(n[first])
+                hub = hub if before and first == 0 else (int(n[first]), m[first])
                 before = (before if first == 0 else 0) + len(k) - first
             else:
-                before, hub = 0, 0
+                before, hub = 0, (0, np.empty(0, dtype=np.int64))
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -181,62 +204,117 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-_MET = "a long, b long, key long, chunk int, nodes binary"
+_MET = "a long, b long, key long, chunk int, nodes binary, marks binary"
+_PACKED = "pairs binary, key long, chunk int, nodes binary, marks binary"
 
 
-def _met(a: np.ndarray, b: np.ndarray, chunks: list[tuple[int, int, bytes]] = []) -> pa.RecordBatch:
+def _met(a: np.ndarray, b: np.ndarray, chunks: list[tuple[int, int, bytes, bytes]] = []) -> pa.RecordBatch:
     n, m = len(a), len(chunks)
     cols = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (a, b)]
-    cols += [pa.concat_arrays([pa.nulls(n, t), pa.array([c[i] for c in chunks], t)]) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "chunk", "nodes"])
+    cols += [pa.concat_arrays([pa.nulls(n, t), pa.array([c[i] for c in chunks], t)]) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "chunk", "nodes", "marks"])
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of marks agree in enough bits and, if there is a root, differ in it; without marks all."""
+    if not x.shape[-1]:
+        return np.ones(len(x), dtype=bool)
+    differ = sum(np.bitwise_count((x[:, i] ^ y[:, i]).view(np.uint64)) for i in range(PART // 64))
+    keep = differ <= PART - PART_AGREE
+    return keep & (x[:, -1] != y[:, -1]) if x.shape[1] > PART // 64 else keep
+
+
+def _chunks(k: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, size, number inside its key) of the chunks of rows from ``_runs``."""
+    start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    place = np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
+    place[: start[1] if len(start) > 1 else len(k)] += before
+    chunk = place // CHUNK
+    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1]))))
+    return first, np.diff(np.append(first, len(k))), chunk[first]
 
 
 def _pairs_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node), sorted: all pairs inside each chunk of a key, and the chunks themselves of keys with several."""
-    for k, n, before, _ in _runs(batches):
-        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        place = np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
-        place[: start[1] if len(start) > 1 else len(k)] += before
-        chunk = place // CHUNK
-        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1]))))
-        size = np.diff(np.append(first, len(k)))
-        out_a, out_b = [], []
-        for s in np.unique(size[size > 1]).tolist():  # as many sizes as CHUNK at most
-            rows = n[first[size == s][:, None] + np.arange(s)]
+    """Of rows (key, node, marks), sorted: all near pairs inside each chunk of a key, and the chunks themselves of keys with several."""
+    for k, n, m, before, _ in _runs(batches):
+        first, size, chunk = _chunks(k, before)
+        out_a, out_b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for s in np.unique(size[(size > 1) & (size <= BLOCK)]).tolist():
             i, j = np.triu_indices(s, 1)
-            out_a.append(rows[:, i].reshape(-1)), out_b.append(rows[:, j].reshape(-1))
-        big = [(int(k[f]), int(chunk[f]), n[f : f + s].tobytes()) for f, s in zip(first.tolist(), size.tolist()) if s == CHUNK or chunk[f] > 0]
-        none = np.empty(0, dtype=np.int64)
-        yield _met(np.concatenate(out_a or [none]), np.concatenate(out_b or [none]), big)
+            some = max(1, 1_000_000 // len(i))
+            at = first[size == s][:, None]
+            for low in range(0, len(at), some):
+                x, y = (at[low : low + some] + i).reshape(-1), (at[low : low + some] + j).reshape(-1)
+                keep = _near(m[x], m[y])
+                out_a.append(n[x[keep]]), out_b.append(n[y[keep]])
+        yield _met(np.concatenate(out_a), np.concatenate(out_b), _several(k, n, m, first, size, chunk))
+        for f, s in zip(first[size > BLOCK].tolist(), size[size > BLOCK].tolist()):
+            for at in range(f, f + s, BLOCK):
+                x, y = np.meshgrid(np.arange(at, min(at + BLOCK, f + s)), np.arange(at, f + s), indexing="ij")
+                x, y = x[x < y], y[x < y]
+                keep = _near(m[x], m[y])
+                yield _met(n[x[keep]], n[y[keep]])
+
+
+def _several(k: np.ndarray, n: np.ndarray, m: np.ndarray, first: np.ndarray, size: np.ndarray, chunk: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    """The chunks of keys that have, or may have, more than one."""
+    return [(int(k[f]), c, n[f : f + s].tobytes(), m[f : f + s].tobytes()) for f, s, c in zip(first.tolist(), size.tolist(), chunk.tolist()) if s == CHUNK or c > 0]
+
+
+def _chunks_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks that ``_pairs_of_keys`` gives, without its pairs."""
+    none = np.empty(0, dtype=np.int64)
+    for k, n, m, before, _ in _runs(batches):
+        yield _met(none, none, _several(k, n, m, *_chunks(k, before)))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_pairs_of_keys`` with the pairs of a batch as one value, so that a file of them takes 16 bytes a pair."""
+    for b in _pairs_of_keys(batches):
+        n = b.num_rows - b.column(0).null_count
+        pairs = np.stack([b.column(i).slice(0, n).to_numpy() for i in (0, 1)], axis=1)
+        cols = [pa.concat_arrays([pa.nulls(1, c.type), c.slice(n)]) for c in b.columns[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes() if n else None, *[None] * (b.num_rows - n)], pa.binary()), *cols], names=["pairs", "key", "chunk", "nodes", "marks"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            pairs = np.frombuffer(x, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _stars_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node), sorted: each node with the first of its key, which keeps ``key``; single nodes are dropped."""
-    for k, n, before, hub in _runs(batches):
+    """Of rows (key, node, marks), sorted: each node that is near the first of its key with that, which keeps ``key``."""
+    for k, n, m, before, hub in _runs(batches):
         start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.append(start, len(k)))
-        first = n[start].copy()
+        first, marks = n[start].copy(), m[start].copy()
         if before:
-            first[0] = hub
+            first[0], marks[0] = hub
         a = np.repeat(first, size)
-        keep = a != n
+        keep = (a != n) & _near(np.repeat(marks, size, axis=0), m)
         yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(a[keep]), pa.array(n[keep])], names=["key", "a", "b"])
 
 
 def _across_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of two chunks' nodes."""
+    """All near pairs of two chunks' nodes; rows (nodes, nodes, marks, marks), or without the marks."""
     for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            p, q = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
-            p, q = np.repeat(p, len(q)), np.tile(q, len(p))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            p, q = (np.frombuffer(x, dtype=np.int64) for x in row[:2])
+            mp, mq = (np.frombuffer(x or b"", dtype=np.int64).reshape(len(z), -1) for x, z in zip(row[2:] or (None, None), (p, q)))
+            for at in range(0, len(p), BLOCK):
+                x, y = np.repeat(np.arange(at, min(at + BLOCK, len(p))), len(q)), np.tile(np.arange(len(q)), min(BLOCK, len(p) - at))
+                keep = _near(mp[x], mq[y])
+                x, y = p[x[keep]], q[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, sketch of a, sketch of b) that agree under enough orders."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-        keep = pa.array((x == y).sum(axis=1) >= SKETCH_AGREE)
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 64) for i in (2, 3))
+        keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= SKETCH - SKETCH_AGREE)
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
@@ -301,19 +379,33 @@ def members(signed: DataFrame) -> DataFrame:
     return signed.select("entry_id", "node").distinct()
 
 
-def _keyed(signed: DataFrame) -> DataFrame:
-    """(key, node), sorted inside partitions by key: where the texts meet. The only shuffle of all keys."""
-    keys = signed.where("keys IS NOT NULL").select("node", "keys").mapInArrow(_keys_of, "key long, node long")
-    return keys.repartition("key").sortWithinPartitions("key", "node")
+def _keyed(signed: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(key, node, s0, s1), sorted inside partitions by key: where the texts meet. The only shuffle of all keys.
+
+    roots: (node, root); adds ``root``, a node that has none being its own.
+    """
+    rows = signed.where("keys IS NOT NULL").select("node", "keys", "sketch")
+    schema = "key long, node long, s0 long, s1 long"
+    if roots is not None:
+        rows, schema = rows.join(roots, "node", "left").select("node", "keys", "sketch", F.coalesce("root", "node").alias("root")), schema + ", root long"
+    return rows.mapInArrow(_keys_of, schema).repartition("key").sortWithinPartitions("key", "node")
+
+
+def _far(chunks: DataFrame) -> DataFrame:
+    """(a, b): the near pairs across the chunks (key, chunk, nodes, marks) of a key."""
+    other = chunks.select(F.col("key").alias("k2"), F.col("chunk").alias("c2"), F.col("nodes").alias("n2"), F.col("marks").alias("m2"))
+    met = chunks.join(other, (F.col("key") == F.col("k2")) & (F.col("chunk") < F.col("c2")))
+    return met.select("nodes", "n2", "marks", "m2").mapInArrow(_across_chunks, "a long, b long")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of nodes that share the prefix tokens under all orders of a filter."""
-    met = cut_lineage(_keyed(signed).mapInArrow(_pairs_of_keys, _MET))
-    big = met.where("key IS NOT NULL").select("key", "chunk", "nodes")
-    other = big.select(F.col("key").alias("k2"), F.col("chunk").alias("c2"), F.col("nodes").alias("n2"))
-    across = big.join(other, (F.col("key") == F.col("k2")) & (F.col("chunk") < F.col("c2"))).select("nodes", "n2").mapInArrow(_across_chunks, "a long, b long")
-    return met.where("a IS NOT NULL").select("a", "b").unionByName(across).distinct()
+def candidates(signed: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b, distinct and dealt out by a: pairs of nodes that share the prefix tokens under all
+    orders of a filter and agree in enough bits; with ``roots`` only those of different roots."""
+    met = cut_lineage(_keyed(signed, roots).mapInArrow(_packed, _PACKED))
+    release(signed)
+    near = met.where("pairs IS NOT NULL").select("pairs").mapInArrow(_unpacked, "a long, b long")
+    far = _far(met.where("key IS NOT NULL").select("key", "chunk", "nodes", "marks"))
+    return near.unionByName(far).repartition("a").distinct()
 
 
 def _exact_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +449,7 @@ def verified(pairs: DataFrame, entries: DataFrame, signed: DataFrame | None) ->
         sa, sb = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
         pairs = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
     pairs = cut_lineage(pairs)
+    release(pairs)
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
     bodies = _texts(entries).mapInArrow(_bodies_of, "node long, body binary")
     rows = sides.join(bodies, "node").select("a", "b", "node", "body")
@@ -372,17 +465,21 @@ def similar_pairs(entries: DataFrame, exact: bool = False) -> DataFrame:
     same classes without that expansion. An empty table gives no rows. exact: see the module.
     """
     signed = signatures(entries)
-    of = members(signed)
     found = verified(exact_candidates(entries) if exact else candidates(signed), entries, None if exact else signed).select("a", "b")
-    ma, mb = of.select(F.col("entry_id").alias("ea"), F.col("node").alias("a")), of.select(F.col("entry_id").alias("eb"), F.col("node").alias("b"))
-    across = found.join(ma, "a").join(mb, "b").select(F.least("ea", "eb").alias("entry_a"), F.greatest("ea", "eb").alias("entry_b"))
+    found = cut_lineage(found)
+    # An entry with one text, which is the rule, has each pair once: only the others' pairs are made distinct.
+    of = signed.select("entry_id", "node").repartition("entry_id").distinct().withColumn("several", F.count("*").over(W.partitionBy("entry_id")) > 1)
+    of = cut_lineage(of)
+    ma, mb = of.select(F.col("entry_id").alias("ea"), F.col("node").alias("a"), F.col("several").alias("sa")), of.select(F.col("entry_id").alias("eb"), F.col("node").alias("b"), F.col("several").alias("sb"))
+    release(signed)
+    across = found.join(ma, "a").join(mb, "b").where("ea <> eb").select(F.least("ea", "eb").alias("entry_a"), F.greatest("ea", "eb").alias("entry_b"), (F.col("sa") | F.col("sb")).alias("several"))
     # Copies of a text meet in chunks as texts of a key do.
-    met = cut_lineage(of.select("node", "entry_id").repartition("node").sortWithinPartitions("node", "entry_id").mapInArrow(_pairs_of_keys, _MET))
-    big = met.where("key IS NOT NULL").select("key", "chunk", "nodes")
-    other = big.select(F.col("key").alias("k2"), F.col("chunk").alias("c2"), F.col("nodes").alias("n2"))
-    far = big.join(other, (F.col("key") == F.col("k2")) & (F.col("chunk") < F.col("c2"))).select("nodes", "n2").mapInArrow(_across_chunks, "a long, b long")
-    within = met.where("a IS NOT NULL").select("a", "b").unionByName(far)
-    return across.where("entry_a < entry_b").unionByName(within.select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"))).distinct()
+    copies = of.where("NOT several").select("node", "entry_id").repartition("node").sortWithinPartitions("node", "entry_id")
+    within = copies.mapInArrow(_pairs_of_keys, _MET).where("a IS NOT NULL").select("a", "b")
+    far = _far(copies.mapInArrow(_chunks_of_keys, _MET).where("key IS NOT NULL").select("key", "chunk", "nodes", "marks"))
+    alone = across.where("NOT several").select("entry_a", "entry_b").unionByName(within.unionByName(far).select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b")))
+    same = ma.where("sa").join(mb.withColumnRenamed("b", "a"), "a").where("ea <> eb").select(F.least("ea", "eb").alias("entry_a"), F.greatest("ea", "eb").alias("entry_b"))
+    return alone.unionByName(across.where("several").select("entry_a", "entry_b").unionByName(same).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -418,16 +515,11 @@ def group_links(entries: DataFrame, signed: DataFrame) -> DataFrame:
     that are still in different components are compared with one another; keys whose nodes have
     come together, such as those of the edited copies of one template, are done.
     """
-    star = cut_lineage(_keyed(signed).mapInArrow(_stars_of_keys, "key long, a long, b long"))
-    first = cut_lineage(verified(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), entries, signed).select("a", "b"))
-    root = components(first)
-    nodes = star.select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    nodes = cut_lineage(nodes)
-    apart = nodes.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = cut_lineage(nodes.join(apart, "key", "left_semi"))
-    x, y = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.unionByName(verified(pairs, entries, signed).select("a", "b"))
+    star = cut_lineage(_keyed(signed).mapInArrow(_stars_of_keys, "key long, a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(signed)
+    first = cut_lineage(verified(star, entries, signed).select("a", "b"))
+    release(signed)
+    return first.unionByName(verified(candidates(signed, components(first)), entries, signed).select("a", "b"))
 
 
 def similar_groups(entries: DataFrame) -> DataFrame:

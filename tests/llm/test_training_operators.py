@@ -115,6 +115,44 @@ def test_keys_are_paired_in_chunks():
         assert stars == {(k, ns[0], x) for k, ns in groups.items() for x in ns[1:]}
 
 
+def test_unlike_texts_of_a_key_leave_no_pairs(spark, monkeypatch):
+    # Two fifths of each text are a common frame: many share a key, none is near another but the edited copies.
+    rnd = random.Random(29)
+    frame = [str(rnd.random()) for _ in range(24)]
+    data = [" ".join(frame + [str(rnd.random()) for _ in range(30)]) for _ in range(300)]
+    data += [data[i].replace("0.1", "0.2", 1) + " x" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(data)), "entry_id long, text string")
+    signed = neardup.signatures(df)
+    keys = neardup._keyed(signed).groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    found = neardup.candidates(signed)
+    assert keys > 1000 and 20 <= found.count() <= 40
+    assert {tuple(r) for r in neardup.similar_pairs(df).collect()} == {(i, 300 + i) for i in range(20)}
+    # The same across the chunks of a key as inside one, and with roots only between different ones.
+    nodes, marks = list(range(400)), [[rnd.getrandbits(62) for _ in range(2)] for _ in range(200)] * 2
+    for chunk, block in ((4096, 64), (64, 16), (150, 7)):
+        monkeypatch.setattr(neardup, "CHUNK", chunk), monkeypatch.setattr(neardup, "BLOCK", block)
+        for roots, want in ((None, {(i, 200 + i) for i in range(200)}), ([0] * 300 + [1] * 100, {(i, 200 + i) for i in range(100, 200)})):
+            cols = [[7] * 400, nodes, [m[0] for m in marks], [m[1] for m in marks], *([roots] if roots else [])]
+            batches = [neardup.pa.RecordBatch.from_arrays([neardup.pa.array(c[at : at + 90]) for c in cols], names=["key", "node", "s0", "s1", "root"][: len(cols)]) for at in range(0, 400, 90)]
+            rows = [r for b in neardup._pairs_of_keys(iter(batches)) for r in b.to_pylist()]
+            got = [(r["a"], r["b"]) for r in rows if r["a"] is not None]
+            chunks = [r for r in rows if r["a"] is None]
+            assert chunks == [r for b in neardup._chunks_of_keys(iter(batches)) for r in b.to_pylist()]
+            for x, y in ((x, y) for i, x in enumerate(chunks) for y in chunks[i + 1 :]):
+                b = neardup.pa.RecordBatch.from_arrays([neardup.pa.array([v]) for v in (x["nodes"], y["nodes"], x["marks"], y["marks"])], names=["x", "y", "mx", "my"])
+                got += [(r["a"], r["b"]) for out in neardup._across_chunks(iter([b])) for r in out.to_pylist()]
+            assert sorted(got) == sorted(want)
+
+
+def test_entries_with_several_texts_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    base = " ".join(str(i * i) for i in range(150))
+    rows_ = [(i, base) for i in range(30)] + [(100, base), (100, base + " tail"), (101, base + " tail"), (102, base + " tail"), (102, base)]
+    got = [tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows_, "entry_id long, text string")).collect()]
+    ids = [*range(30), 100, 101, 102]
+    assert sorted(got) == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+
+
 def test_tokens_by_definition():
     n = neardup.normalise("Ab-c_D 一二３!é")
     assert n == "abcd一二３é"
