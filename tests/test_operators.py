@@ -238,3 +238,14 @@ def test_core_runs_without_the_optional_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "sparkivist.llm", None)
     entry = importlib.import_module("__spark_entry__")
     assert "bm25_topk" in entry.queries() and not any(k.startswith("p1_") for k in entry.queries())
+
+
+def test_one_scan_gives_the_query_and_the_graph(spark):
+    from sparkivist.operators import index
+
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2], i % 5 > 0) for i, t in enumerate(["The Winter Trip", "winter trips and tea", None, "", "tea for the trip", "Trip 冬天", "a winter far away", "trip trip trip"])], "doc_id long, text string, layer string, live boolean")
+    built, scanned = index.build(docs), index.scan(docs, "winter trip", grams=True)
+    assert rows(scanned.select("doc_id", "grams")) == rows(built.select("doc_id", "grams"))
+    assert rows(scanned.drop("grams")) == rows(index.scan(docs, "winter trip")) == rows(index.hits(built, "winter trip"))
+    stored = index.build(docs.withColumn("_visible", F.col("live")), keep=("layer", "_visible"))
+    assert rows(ranking.hybrid_retrieve(docs, "winter trip", visible=F.col("live"))) == rows(ranking.retrieve_indexed(stored, "winter trip"))
